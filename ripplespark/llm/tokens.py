@@ -10,16 +10,17 @@ cache is bounded and emptied when full, which affects speed only.
 from __future__ import annotations
 
 import json
-import re
 import struct
-from itertools import filterfalse
+from itertools import compress, count, filterfalse
+from operator import not_
 
 import numpy as np
 
 #: Entries of the younger of two generations; words still in use move over when it is full.
-CACHE_ENTRIES = 350_000
-#: Letters that a lower-casing tokenizer reads alike in either case, then marks that it reads alone.
-PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00fe]+)([.,]*)").fullmatch
+CACHE_ENTRIES = 600_000
+#: Marks after a word that are no part of it.
+MARKS = ".,"
+SIGMA = "\u03a3"
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -89,43 +90,39 @@ class Encoder:
         for k in range(0, len(words), 20_000):
             part = words[k : k + 20_000]
             ids = np.asarray(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            self._keep(part, ids, np.flatnonzero(self.ends[ids]) + 1)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part):
+                self._keep(part, ids, cuts)
+            else:  # the normaliser took some word apart
+                self._learn_any(part)
 
     def _keep(self, part: list[str], ids: np.ndarray, cuts: np.ndarray) -> None:
-        if len(cuts) != len(part):
-            raise AssertionError("chunks and ids don't match")
-        data, last = ids.tobytes(), 0
-        for chunk, cut in zip(part, cuts.tolist()):
-            self.cache[chunk] = data[4 * last : 4 * cut]
-            last = cut
-
-    def learn(self, chunks: set[str]) -> None:
-        """Put the ids of chunks, none of them empty, in the cache."""
-        have, plain, tails, other = self.cache, set(), [], []
-        again = chunks & self.old.keys()
-        have.update(zip(again, map(self.old.__getitem__, again)))
-        for c in chunks - again if again else chunks:
-            m = PLAIN(c) if self.ends is not None else None
-            if m is None:
-                other.append(c)
-                continue
-            word, mark = m.groups()
-            word = word.lower()
-            if word not in have:
-                if word in self.old:
-                    have[word] = self.old[word]
-                else:
-                    plain.add(word)
-            if mark and mark not in have:
-                other.append(mark)
-            if word != c:
-                tails.append((c, word, mark))
-        if plain:
-            self._learn_plain(list(plain))
-        if other:
-            self._learn_any(list(dict.fromkeys(other)))
-        for c, word, mark in tails:
-            have[c] = have[word] + have[mark] if mark else have[word]
+        data, cuts = ids.tobytes(), (4 * cuts).tolist()
+        self.cache.update(zip(part, map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts))))
+
+    def learn(self, chunks: list[str]) -> None:
+        """Put the ids of distinct chunks in the cache. Letters are encoded in lower case and apart from the marks after them, where the tokenizer reads them so."""
+        have, old = self.cache, self.old
+        if old:
+            again = list(filter(old.__contains__, chunks))
+            have.update(zip(again, map(old.__getitem__, again)))
+            chunks = list(filterfalse(old.__contains__, chunks))
+        if self.ends is None:
+            return self._learn_any(chunks)
+        words = [c.rstrip(MARKS) for c in chunks]
+        plain = list(map(str.isalpha, words))
+        if SIGMA in "".join(words):  # the only letter whose small form depends on its place
+            plain = [p and SIGMA not in w for p, w in zip(plain, words)]
+        low = list(map(str.lower, words))
+        new = set(compress(low, plain)).difference(have)
+        again = list(filter(old.__contains__, new))
+        have.update(zip(again, map(old.__getitem__, again)))
+        new.difference_update(again)
+        self._learn_plain(list(new))
+        other = [c for c, p in zip(chunks, plain) if not p]
+        ends = {c[len(w) :] for c, w, p in zip(chunks, words, plain) if p} - have.keys() - {""}
+        self._learn_any([*ends.difference(other), *other])
+        have.update({c: have[x] + have[c[len(w) :]] for c, w, x, p in zip(chunks, words, low, plain) if p and c != x})
 
     def room(self) -> None:
         if len(self.cache) > CACHE_ENTRIES:
@@ -143,20 +140,26 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, null as empty."""
         self.room()
-        split, missing = [self.chunks(t) for t in texts], set()
-        known = self.cache.__contains__
-        for s in split:
-            if s:
-                missing.update(filterfalse(known, s))
-        self.learn(missing)
-        get = self.cache.__getitem__
-        return [self.whole(t) if s is None else b"".join(map(get, s)) for s, t in zip(split, texts)]
+        split = [self.chunks(t) for t in texts]
+        get = self.cache.get
+        found = [None if s is None else list(map(get, s)) for s in split]
+        gaps = [None if s is None else list(compress(count(), map(not_, f))) for s, f in zip(split, found)]
+        self.learn(list({s[i] for s, g in zip(split, gaps) if g for i in g} - {""}))
+        out, get = [], self.cache.__getitem__
+        for t, s, f, g in zip(texts, split, found, gaps):
+            if s is None:
+                out.append(self.whole(t))
+                continue
+            for i in g:
+                f[i] = get(s[i])
+            out.append(b"".join(f))
+        return out
 
     def words(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk."""
         self.room()
-        self.learn(set(filterfalse(self.cache.__contains__, chunks)))
-        return [self.cache[c] for c in chunks]
+        self.learn(list(set(filterfalse(self.cache.__contains__, chunks)) - {""}))
+        return list(map(self.cache.__getitem__, chunks))
 
 
 def end_bytes(end_id: int) -> bytes:
