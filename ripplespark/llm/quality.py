@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, read_table, split_by_keys, text_buffer
+from .common import blocks, cut, drop_keys, read_table, split_by_keys, text_buffer
 from .words import Q, P, LOWER, Words, mix, shingles, spans, sums
 
 SYMBOLS = np.zeros(256, bool)
@@ -193,6 +193,18 @@ def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out
 
 
+def clean(docs: DataFrame) -> DataFrame:
+    """``docs`` without rejected documents, and without the frequent lines of those that stay.
+
+    Rows that share a ``doc_id`` go if any of them is rejected.
+    """
+    verdicts, removed = judge(docs)
+    verdicts = cut(verdicts.select("doc_id", "kept"), "verdicts")
+    rejected = verdicts.where("NOT kept").select("doc_id")
+    left = drop_keys(docs, rejected)
+    return without_lines(left, removed.join(rejected, "doc_id", "left_anti"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts of all ``documents``."""
     return judge(read_table(spark, sf_dir, "documents"))[0]

@@ -65,12 +65,7 @@ def fingerprints(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     low = LOWER[buf].copy()
     low[_ENDS[buf]] = 32
     w = Words(low, offsets)
-    key = np.unique(np.stack([w.row.astype(np.uint64), w.hash], 1), axis=0) if False else None
-    order = np.argsort(mix(w.hash ^ mix(w.row.astype(np.uint64))), kind="stable")
-    tag = mix(w.hash ^ mix(w.row.astype(np.uint64)))[order]
-    new = np.ones(len(tag), bool)
-    new[1:] = tag[1:] != tag[:-1]
-    first = order[new]
+    _, first = np.unique(mix(w.hash ^ mix(w.row.astype(np.uint64))), return_index=True)
     row, h = w.row[first], w.hash[first]
     out = np.zeros((n, 32), np.uint8)
     for k in range(4):
