@@ -102,7 +102,7 @@ def key_bits(df: DataFrame, key: str) -> np.ndarray:
     words = (
         df.select(at.alias("at"))
         .groupBy((F.col("at") / 64).cast("int").alias("w"))
-        .agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("m"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("m"))
         .collect()
     )
     bits = np.zeros(FILTER_BITS // 64, np.int64)
