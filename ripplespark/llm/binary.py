@@ -26,7 +26,6 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +34,7 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .common import blocks, fs_of, new_path, publish, read_table, text_buffer
+from .tokens import gather
 
 MAGIC = b"RPR1"
 #: Pairs are counted in a table of 2**HASH_BITS slots, one pair a slot and round.
@@ -97,13 +97,6 @@ def repair(seq: np.ndarray, stop: np.ndarray, top: int, rounds: int, weights: np
     return seq, stop, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
-def _gather(flat: np.ndarray, first: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The strings ``which`` of ``flat`` (string i is ``flat[first[i]:first[i+1]]``) one after another, and where each ends."""
-    begin, size = first[which], first[which + 1] - first[which]
-    done = np.cumsum(size)
-    return flat[np.arange(done[-1] if len(done) else 0) + np.repeat(begin - (done - size), size)], done
-
-
 def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of every symbol one after another, and where each symbol's begin."""
     size = np.ones(base + len(rules), np.int64)
@@ -119,31 +112,34 @@ def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     return flat, first
 
 
-def encode_shard(doc_ids: list[int | None], docs: list[np.ndarray], strings: list[bytes], rounds: tuple[int, int] = (5, 1)) -> bytes:
-    """A shard file's bytes. ``strings``: ids of the distinct strings that documents are made of; ``docs``: each one's strings by number.
+def encode_shard(doc_ids: list[int | None], words: np.ndarray, doc_words: np.ndarray, flat: np.ndarray, first: np.ndarray, rounds: tuple[int, int] = (5, 1)) -> bytes:
+    """A shard file's bytes. Document i is the strings ``words[doc_words[i]:doc_words[i+1]]``, string j the ids ``flat[first[j]:first[j+1]]``.
 
     The first rounds count pairs within strings, each distinct string once with
     its occurrences as weight; the last rounds count pairs in whole documents.
     """
-    words = np.concatenate(docs) if docs else np.zeros(0, np.int32)
-    flat = np.frombuffer(b"".join(strings), np.uint32)
-    sizes = np.fromiter((len(s) // 4 for s in strings), np.int64, len(strings))
+    uses = np.bincount(words, minlength=len(first) - 1)
+    used = np.flatnonzero(uses)
+    flat, done = gather(flat, first, used)
+    sizes = np.diff(np.concatenate([[0], done]))
+    place = np.zeros(len(uses), np.int32)
+    place[used] = np.arange(len(used))
+    words, uses = place[words], uses[used]
     base = int(flat.max()) + 1 if len(flat) else 0
-    doc_words = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)
     first_id = np.concatenate([[0], np.cumsum(sizes[words])])[doc_words]
 
     some = np.flatnonzero(sizes)
     stop = np.zeros(len(flat), bool)
     stop[np.cumsum(sizes[some]) - 1] = True
-    weights = np.repeat(np.bincount(words, minlength=len(strings)).astype(np.float64), sizes)
+    weights = np.repeat(uses.astype(np.float64), sizes)
     flat, stop, rules = repair(flat, stop, base, rounds[0], weights)
-    first = np.zeros(len(strings) + 1, np.int64)
+    first = np.zeros(len(used) + 1, np.int64)
     first[some + 1] = np.diff(np.concatenate([[0], np.flatnonzero(stop) + 1]))
     first = np.cumsum(first)
     out, ends = [], []
     n = 0
     for k in range(0, len(words), 1 << 20):
-        part, done = _gather(flat, first, words[k : k + (1 << 20)])
+        part, done = gather(flat, first, words[k : k + (1 << 20)])
         out.append(part)
         ends.append(done + n)
         n += len(part)
@@ -152,7 +148,7 @@ def encode_shard(doc_ids: list[int | None], docs: list[np.ndarray], strings: lis
     stop = np.zeros(len(seq), bool)
     stop[ends[1:][np.diff(ends) > 0] - 1] = True
     seq, stop, more = repair(seq, stop, base + len(rules), rounds[1])
-    first_symbol = np.zeros(len(docs) + 1, np.int64)
+    first_symbol = np.zeros(len(doc_words), np.int64)
     first_symbol[1:][np.diff(ends) > 0] = np.diff(np.concatenate([[0], np.flatnonzero(stop) + 1]))
     rules = np.concatenate([rules, more])
     size = np.ones(base + len(rules), np.uint32)
@@ -162,7 +158,7 @@ def encode_shard(doc_ids: list[int | None], docs: list[np.ndarray], strings: lis
     return b"".join(
         [
             MAGIC,
-            struct.pack("<6Q", len(docs), int(first_id[-1]), len(seq), base, len(rules), 1),
+            struct.pack("<6Q", len(doc_words) - 1, int(first_id[-1]), len(seq), base, len(rules), 1),
             np.array([0 if d is None else d for d in doc_ids], np.int64).tobytes(),
             np.array([d is not None for d in doc_ids], np.uint8).tobytes(),
             first_id.astype(np.int64).tobytes(),
@@ -202,7 +198,7 @@ class Shard:
     def expand(self, a: int, b: int) -> np.ndarray:
         """Ids of the symbols ``[a, b)``."""
         s = self.low[a:b].astype(np.int64) | (self.high[a:b].astype(np.int64) << 16)
-        return _gather(self.flat, self.first, s)[0]
+        return gather(self.flat, self.first, s)[0]
 
     def doc(self, i: int) -> np.ndarray:
         """Ids of document ``i``."""
@@ -221,32 +217,22 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         from pyspark import TaskContext
 
         enc, shard = tokens.encoder(tokenizer), TaskContext.get().partitionId()
+        enc.begin()
         names: list[int | None] = []
         parts: list[np.ndarray] = []
-        number: dict[str, int] = {}
-        strings = [tokens.end_bytes(end_id)]
+        counts: list[np.ndarray] = []
+        last = enc.add(np.array([end_id], np.uint32))
         for b in batches:
-            _, offs = text_buffer(b.column(1))
+            buf, offs = text_buffer(b.column(1))
+            names += b.column(0).to_pylist()
             for lo, hi in blocks(offs):
-                names += b.column(0).slice(lo, hi - lo).to_pylist()
-                texts = b.column(1).slice(lo, hi - lo).to_pylist()
-                split, new = [enc.chunks(t) for t in texts], {}
-                for s in split:
-                    new.update(dict.fromkeys(filterfalse(number.__contains__, s or ())))
-                number.update(zip(new, range(len(strings), len(strings) + len(new))))
-                strings += enc.words(list(new))
-                get = number.__getitem__
-                for s, t in zip(split, texts):
-                    if s is None:
-                        strings.append(enc.whole(t))
-                        parts.append(np.array([len(strings) - 1, 0], np.int32))
-                    else:
-                        one = np.zeros(len(s) + 1, np.int32)
-                        one[:-1] = np.fromiter(map(get, s), np.int32, len(s))
-                        parts.append(one)
+                words, first = enc.numbers(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+                parts.append(np.insert(words, first[1:], last))
+                counts.append(np.diff(first) + 1)
         if names:
             path = f"{folder}/shard-{shard:06d}.rpr"
-            data = encode_shard(names, parts, strings, rounds)
+            doc_words = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
+            data = encode_shard(names, np.concatenate(parts), doc_words, enc.strings.flat, enc.strings.first, rounds)
             publish(path, data)
             _, n_ids, n_symbols, *_ = struct.unpack_from("<6Q", data, 4)
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": [len(names)], "n_ids": [n_ids], "n_symbols": [n_symbols], "n_bytes": [len(data)]})

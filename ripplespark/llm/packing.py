@@ -45,24 +45,25 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, max_len: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, end = tokens.encoder(tokenizer), tokens.end_bytes(end_id)
+        enc = tokens.encoder(tokenizer)
         part, seen = TaskContext.get().partitionId(), np.zeros(bits, np.int64)
         for b in batches:
-            _, offs = text_buffer(b.column(1))
+            buf, offs = text_buffer(b.column(1))
             for lo, hi in blocks(offs):
-                ids = b.column(0).slice(lo, hi - lo).to_pylist()
+                docs_ = b.column(0).slice(lo, hi - lo).to_pylist()
+                ids, ends = enc.encode(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], end_id)
+                view, first = memoryview(ids.astype("<u4", copy=False)).cast("B"), 0
                 out: tuple[list, ...] = ([], [], [], [], [])
-                for doc, data in zip(ids, enc.encode(b.column(1).slice(lo, hi - lo).to_pylist())):
-                    data += end
-                    n, at = len(data) // 4, 0
-                    view = memoryview(data)
+                for doc, end in zip(docs_, ends.tolist()):
+                    n, at = end - first, 0
                     for size in piece_lengths(n, max_len):
                         out[0].append(doc)
                         out[1].append(at)
                         out[2].append(size)
-                        out[3].append(zlib.crc32(view[4 * at : 4 * (at + size)]))
+                        out[3].append(zlib.crc32(view[4 * (first + at) : 4 * (first + at + size)]))
                         out[4].append(n)
                         at += size
+                    first = end
                 size = np.array(out[2], np.int64)
                 kind = np.log2(size).astype(np.int64) if len(size) else size
                 nth = np.zeros(len(size), np.int64)

@@ -2,25 +2,34 @@
 
 A tokenizer whose pre-tokenizer drops white space, and whose normaliser never
 joins characters across it, gives a text the ids of its space-separated chunks
-in order. Such a tokenizer is asked only for chunks not met before; ids of a
-text are then a join of cached bytes. Any other tokenizer gets whole texts. The
-cache is bounded and emptied when full, which affects speed only.
+in order. Such a tokenizer is asked only for chunks not met before: chunks are
+numbered, their ids lie one after another in one array, and a text is a row of
+numbers, found by a whole block's hashes at once. A chunk is told by its 64-bit
+hash and its first eight bytes. Any other tokenizer gets whole texts. The
+numbering is bounded and begun anew when full, which affects speed only.
 """
 
 from __future__ import annotations
 
 import json
-import struct
-from itertools import compress, count, filterfalse
-from operator import not_
+import string
+from itertools import compress, filterfalse
 
 import numpy as np
 
-#: Entries of the younger of two generations; words still in use move over when it is full.
-CACHE_ENTRIES = 600_000
-#: Marks after a word that are no part of it.
-MARKS = ".,"
+from .words import Words
+
+#: Strings that are numbered before the numbering begins anew, and names of a generation that strings are made of.
+ENTRIES = 2_000_000
+NAMES = 500_000
+
+
+#: Marks after a word that the tokenizer reads apart from it, as one.
+MARKS = string.punctuation
 SIGMA = "\u03a3"
+#: A chunk ends at a space or newline; the tokenizer sees to other white space.
+_ENDS = np.zeros(256, bool)
+_ENDS[[10, 32]] = True
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -51,6 +60,87 @@ def splits_at_spaces(spec: dict) -> bool:
     return calm and drops and all(not p.get("add_prefix_space") for p in pres)
 
 
+def gather(flat: np.ndarray, first: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The strings ``which`` of ``flat`` (string i is ``flat[first[i]:first[i+1]]``) one after another, and where each ends."""
+    begin = first[which]
+    size = first[which + 1] - begin
+    done = np.cumsum(size)
+    return flat[np.arange(done[-1] if len(done) else 0) + np.repeat(begin - (done - size), size)], done
+
+
+class Strings:
+    """Strings of ids by number, in growing arrays; number 0 is the empty string."""
+
+    def __init__(self) -> None:
+        self._flat, self._first = np.empty(1 << 16, np.uint32), np.zeros(1 << 12, np.int64)
+        self.n, self.size = 1, 0
+
+    def __len__(self) -> int:
+        return self.n
+
+    @property
+    def flat(self) -> np.ndarray:
+        return self._flat[: self.size]
+
+    @property
+    def first(self) -> np.ndarray:
+        return self._first[: self.n + 1]
+
+    def add(self, ids: np.ndarray, ends: np.ndarray) -> int:
+        """Add strings; the number of the first of them."""
+        at, size = self.n, self.size
+        while size + len(ids) > len(self._flat):
+            self._flat = np.concatenate([self._flat, np.empty_like(self._flat)])
+        while at + len(ends) + 1 > len(self._first):
+            self._first = np.concatenate([self._first, np.empty_like(self._first)])
+        self._flat[size : size + len(ids)] = ids
+        self._first[at + 1 : at + 1 + len(ends)] = size + ends
+        self.n, self.size = at + len(ends), size + len(ids)
+        return at
+
+
+class Table:
+    """Numbers by (hash, first bytes): open addressing, whole arrays at a time."""
+
+    def __init__(self, bits: int = 22):
+        self.bits, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.key, self.check, self.value = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 where there is none. No key is 0."""
+        out = np.full(len(key), -1, np.int32)
+        at, rest = (key >> self.bits).astype(np.int64), np.arange(len(key))
+        while len(rest):
+            have = self.key[at]
+            hit = (have == key[rest]) & (self.check[at] == check[rest])
+            out[rest[hit]] = self.value[at[hit]]
+            on = ~hit & (have != 0)
+            rest, at = rest[on], (at[on] + 1) & self.mask
+        return out
+
+    def insert(self, key: np.ndarray, check: np.ndarray, value: np.ndarray) -> None:
+        """Add keys that aren't there."""
+        at, rest = (key >> self.bits).astype(np.int64), np.arange(len(key))
+        while len(rest):
+            free = np.flatnonzero(self.key[at] == 0)
+            _, one = np.unique(at[free], return_index=True)
+            won = free[one]
+            k = at[won]
+            self.key[k], self.check[k], self.value[k] = key[rest[won]], check[rest[won]], value[rest[won]]
+            on = np.ones(len(rest), bool)
+            on[won] = False
+            rest, at = rest[on], (at[on] + 1) & self.mask
+
+
+def _leading(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each span as a number, zero beyond its end."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    view = np.lib.stride_tricks.as_strided(padded.view(np.uint8), (len(buf) + 1, 8), (1, 1))
+    x = np.ascontiguousarray(view[start]).view("<u8").ravel()
+    size = np.minimum(end - start, 8).astype(np.uint64)
+    return np.where(size == 8, x, x & ((np.uint64(1) << (size * np.uint64(8))) - np.uint64(1)))
+
+
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -61,19 +151,36 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.by_chunk = splits_at_spaces(spec)
-        self.special = [x["content"] for x in spec.get("added_tokens", [])]
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.special = [x["content"].encode() for x in spec.get("added_tokens", [])]
         mark = spec["model"].get("end_of_word_suffix") if spec["model"]["type"] == "BPE" else None
         lower = any(x["type"] == "Lowercase" for x in (spec.get("normalizer") or {}).get("normalizers", []))
         self.ends = None
         if self.by_chunk and mark and lower:
             self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1 + len(self.special), bool)
             self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(mark)]] = True
+        self._reset()
+
+    def _reset(self) -> None:
+        self.strings, self.table = Strings(), Table()
+        self.names: dict[str, int] = {"": 0}
+        self.old: dict[str, int] = {}
 
-    def whole(self, text: str) -> bytes:
-        """Ids of one text straight from the library, as little-endian unsigned 32-bit integers."""
-        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+    def begin(self) -> None:
+        """Begin the numbering anew if it is full. Numbers given before are void then."""
+        if len(self.strings) > ENTRIES:
+            self._reset()
+
+    def whole(self, text: str) -> np.ndarray:
+        """Ids of one text straight from the library."""
+        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def add(self, ids: np.ndarray) -> int:
+        """Number one string of ids."""
+        return self.strings.add(ids, np.array([len(ids)]))
+
+    def _name(self, part: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        at = self.strings.add(ids, ends)
+        self.names.update(zip(part, range(at, at + len(part))))
 
     def _learn_any(self, chunks: list[str]) -> None:
         """Ids of chunks by their places in one joined text."""
@@ -83,7 +190,7 @@ class Encoder:
             ids = np.asarray(e.ids, np.uint32)
             at = np.fromiter((a for a, _ in e.offsets), np.int64, len(ids))
             ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
-            self._keep(part, ids, np.searchsorted(at, ends))
+            self._name(part, ids, np.searchsorted(at, ends))
 
     def _learn_plain(self, words: list[str]) -> None:
         """Ids of words of letters alone: each ends with its one id that has the word-end mark."""
@@ -92,75 +199,75 @@ class Encoder:
             ids = np.asarray(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part):
-                self._keep(part, ids, cuts)
+                self._name(part, ids, cuts)
             else:  # the normaliser took some word apart
                 self._learn_any(part)
 
-    def _keep(self, part: list[str], ids: np.ndarray, cuts: np.ndarray) -> None:
-        data, cuts = ids.tobytes(), (4 * cuts).tolist()
-        self.cache.update(zip(part, map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts))))
-
-    def learn(self, chunks: list[str]) -> None:
-        """Put the ids of distinct chunks in the cache. Letters are encoded in lower case and apart from the marks after them, where the tokenizer reads them so."""
-        have, old = self.cache, self.old
-        if old:
-            again = list(filter(old.__contains__, chunks))
-            have.update(zip(again, map(old.__getitem__, again)))
-            chunks = list(filterfalse(old.__contains__, chunks))
+    def _unknown(self, names: set[str]) -> list[str]:
+        """Names that aren't numbered; those of the old generation are moved."""
+        new = names.difference(self.names)
+        again = list(filter(self.old.__contains__, new))
+        self.names.update(zip(again, map(self.old.__getitem__, again)))
+        return list(new.difference(again)) if again else list(new)
+
+    def learn(self, chunks: list[str]) -> np.ndarray:
+        """Numbers of new distinct chunks. Letters are encoded in lower case and apart from the marks after them, where the tokenizer reads them so."""
+        if len(self.names) > NAMES:
+            self.old, self.names = self.names, {"": 0}
         if self.ends is None:
-            return self._learn_any(chunks)
+            self._learn_any(self._unknown(set(chunks)))
+            return np.fromiter(map(self.names.__getitem__, chunks), np.int32, len(chunks))
         words = [c.rstrip(MARKS) for c in chunks]
         plain = list(map(str.isalpha, words))
         if SIGMA in "".join(words):  # the only letter whose small form depends on its place
             plain = [p and SIGMA not in w for p, w in zip(plain, words)]
         low = list(map(str.lower, words))
-        new = set(compress(low, plain)).difference(have)
-        again = list(filter(old.__contains__, new))
-        have.update(zip(again, map(old.__getitem__, again)))
-        new.difference_update(again)
-        self._learn_plain(list(new))
-        other = [c for c, p in zip(chunks, plain) if not p]
-        ends = {c[len(w) :] for c, w, p in zip(chunks, words, plain) if p} - have.keys() - {""}
-        self._learn_any([*ends.difference(other), *other])
-        have.update({c: have[x] + have[c[len(w) :]] for c, w, x, p in zip(chunks, words, low, plain) if p and c != x})
-
-    def room(self) -> None:
-        if len(self.cache) > CACHE_ENTRIES:
-            self.old, self.cache = self.cache, {}
-        self.cache[""] = b""
-
-    def chunks(self, text: str | None) -> list[str] | None:
-        """The chunks of a text; None where only the whole text may be encoded."""
-        if not text:
-            return []
-        if not self.by_chunk or any(s in text for s in self.special):
-            return None
-        return text.replace("\n", " ").split(" ")
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text, null as empty."""
-        self.room()
-        split = [self.chunks(t) for t in texts]
-        get = self.cache.get
-        found = [None if s is None else list(map(get, s)) for s in split]
-        gaps = [None if s is None else list(compress(count(), map(not_, f))) for s, f in zip(split, found)]
-        self.learn(list({s[i] for s, g in zip(split, gaps) if g for i in g} - {""}))
-        out, get = [], self.cache.__getitem__
-        for t, s, f, g in zip(texts, split, found, gaps):
-            if s is None:
-                out.append(self.whole(t))
-                continue
-            for i in g:
-                f[i] = get(s[i])
-            out.append(b"".join(f))
-        return out
-
-    def words(self, chunks: list[str]) -> list[bytes]:
-        """Ids of each chunk."""
-        self.room()
-        self.learn(list(set(filterfalse(self.cache.__contains__, chunks)) - {""}))
-        return list(map(self.cache.__getitem__, chunks))
+        self._learn_plain(self._unknown(set(compress(low, plain))))
+        marks = [c[len(w) :] if p else "" for c, w, p in zip(chunks, words, plain)]
+        bases = [x if p else c for c, x, p in zip(chunks, low, plain)]
+        self._learn_any(self._unknown({*marks, *filterfalse(self.names.__contains__, bases)}))
+        n, get = len(chunks), self.names.__getitem__
+        first, second = np.fromiter(map(get, bases), np.int32, n), np.fromiter(map(get, marks), np.int32, n)
+        two = np.flatnonzero(second)
+        if len(two):
+            ids, done = gather(self.strings.flat, self.strings.first, np.stack([first[two], second[two]], 1).ravel())
+            at = self.strings.add(ids, done[1::2])
+            first[two] = np.arange(at, at + len(two))
+        return first
 
+    def numbers(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A block's rows as numbers of ``strings``, one row after another, and where each begins (and one past the last)."""
+        raw, rows = buf.tobytes(), len(offsets) - 1
+        if not self.by_chunk:
+            return np.array([self.add(self.whole(raw[a:b].decode())) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], np.int32), np.arange(rows + 1)
+        w = Words(buf, offsets, _ENDS)
+        key, check = w.hash | np.uint64(1), _leading(buf, w.start, w.end)
+        out = self.table.find(key, check)
+        miss = np.flatnonzero(out < 0)
+        if len(miss):
+            _, one, inverse = np.unique(key[miss], return_index=True, return_inverse=True)
+            new = miss[one]
+            twins = check[miss] != check[new][inverse]
+            made = self.learn([raw[a:b].decode() for a, b in zip(w.start[new].tolist(), w.end[new].tolist())])
+            self.table.insert(key[new], check[new], made)
+            out[miss] = made[inverse]
+            for i in miss[twins].tolist():  # a hash shared by different chunks
+                out[i] = self.add(self.whole(raw[w.start[i] : w.end[i]].decode()))
+        first = w.first
+        if any(s in raw for s in self.special):
+            parts = []
+            for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                odd = any(s in raw[a:b] for s in self.special)
+                parts.append(np.array([self.add(self.whole(raw[a:b].decode()))], np.int32) if odd else out[first[i] : first[i + 1]])
+            out, first = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        return out, first
 
-def end_bytes(end_id: int) -> bytes:
-    return struct.pack("<I", end_id)
+    def encode(self, buf: np.ndarray, offsets: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a block's rows one after another, each followed by ``end_id`` if given, and where each row ends."""
+        self.begin()
+        words, first = self.numbers(buf, offsets)
+        if end_id is not None:
+            words = np.insert(words, first[1:], self.add(np.array([end_id], np.uint32)))
+            first = first + np.arange(len(first))
+        ids, done = gather(self.strings.flat, self.strings.first, words)
+        return ids, np.concatenate([[0], done])[first[1:]].astype(np.int64)

@@ -59,12 +59,12 @@ def spans(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) ->
 class Words:
     """Words of a block of rows: ``start``, ``end`` (bytes), ``row``, ``hash``; ``first[row]`` is the row's first word.
 
-    ``fold``: hash with ASCII capitals as small letters.
+    ``space``: a table of the bytes that end a word.
     """
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray, fold: bool = False):
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE):
         n, rows = len(buf), len(offsets) - 1
-        word = ~SPACE[buf]
+        word = ~space[buf]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         left = word.copy()
@@ -75,7 +75,7 @@ class Words:
         self.end = np.flatnonzero(right) + 1
         self.row = np.searchsorted(offsets, self.start, "right") - 1
         self.first = np.searchsorted(self.start, offsets)
-        self.prefix = sums(LOWER[buf].astype(np.uint64) + np.uint64(1) if fold else buf.astype(np.uint64) + np.uint64(1), P)
+        self.prefix = sums(buf.astype(np.uint64) + np.uint64(1), P)
         self.hash = spans(self.prefix, self.start, self.end, P)
         self.rows = rows
 
