@@ -34,7 +34,7 @@ SCORES = (
     ("negative_evidence_count", True),
     ("semantic_support_rank", False),
     ("secondary_evidence_count", False),
-    ("call_position_rank", True),
+    ("call_position_rank", False),
     ("lexical_tiebreak", True),
 )
 
