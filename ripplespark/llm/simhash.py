@@ -44,11 +44,11 @@ from .graph import components
 from .words import LOWER, SPACE, Words, mix
 
 BITS = 256
-REACH = 0.125
-RECALL = 0.95
+REACH = 0.15
+RECALL = 0.99
 #: Most differing bits of a link: a fifth.
 LIMIT = 51
-BUCKET = 64
+BUCKET = 128
 MOST_TRIES = 64
 DENSE = 4096
 LEVELS = 2
