@@ -65,15 +65,14 @@ def parse_id(value: Column) -> Column:
     """
     parts = F.split(value, ":")
     n = F.size(parts)
-    code = F.element_at(parts, -3)
     known = {**{v: k for k, v in KINDS.items()}, "function": "function", "module": "module"}
-    kind = rank_to(code, known)
-    line = F.element_at(parts, -1).try_cast("int")
+    kind = rank_to(F.get(parts, n - 3), known)
+    line = F.get(parts, n - 1).try_cast("int")
     made = F.struct(
-        F.element_at(parts, 1).alias("language"),
+        F.get(parts, F.lit(0)).alias("language"),
         F.array_join(F.slice(parts, 2, F.greatest(n - 4, F.lit(0))), ":").alias("file"),
         kind.alias("kind"),
-        F.element_at(parts, -2).alias("name"),
+        F.get(parts, n - 2).alias("name"),
         line.alias("line"),
     )
     return F.when((n >= 5) & kind.isNotNull() & line.isNotNull(), made)

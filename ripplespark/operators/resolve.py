@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import expand_relative, file_matches, module_keys, module_path, parent
+from ..work import cut
 from .changed import enclosing
 
 HOPS = 10
@@ -59,7 +60,8 @@ def follow_exports(prefixes: DataFrame, imports: DataFrame, hops: int = HOPS) ->
     exports = imports.where("entry_type = 'export'").groupBy("file", "key").agg(F.min("target").alias("to"))
     globs = imports.where("entry_type = 'export_glob'").groupBy("file").agg(F.array_sort(F.collect_set("target")).alias("g"))
     none = F.array().cast("array<string>")
-    cur = prefixes.select(F.col("prefix").alias("p0"), F.col("name").alias("n0"), "prefix", "name", none.alias("seen"), none.alias("globs"))
+    hub, exports, globs = cut(hub), cut(exports), cut(globs)
+    cur = cut(prefixes.select(F.col("prefix").alias("p0"), F.col("name").alias("n0"), "prefix", "name", none.alias("seen"), none.alias("globs")))
     done = None
     for _ in range(hops):
         at = cur.where(~F.array_contains("seen", F.col("prefix"))).join(hub, "prefix", "left")
@@ -68,7 +70,7 @@ def follow_exports(prefixes: DataFrame, imports: DataFrame, hops: int = HOPS) ->
         at = at.withColumn("globs", F.array_distinct(F.concat("globs", F.coalesce("g", none)))).withColumn("seen", F.concat("seen", F.array("prefix")))
         ended = at.where("to IS NULL").select(*cur.columns).unionByName(stop)
         done = ended if done is None else done.unionByName(ended)
-        cur = at.where("to IS NOT NULL").withColumn("prefix", _head(F.col("to"))).withColumn("name", _last(F.col("to"))).select(*cur.columns)
+        cur = cut(at.where("to IS NOT NULL").withColumn("prefix", _head(F.col("to"))).withColumn("name", _last(F.col("to"))).select(*cur.columns))
         if cur.isEmpty():
             break
     else:
