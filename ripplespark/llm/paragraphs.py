@@ -2,7 +2,7 @@
 
 A paragraph is a line of at least ``LEAST_WORDS`` words. Its MinHash signature,
 over 3-word shingles, is cut into ``BANDS`` bands of ``ROWS`` values, tuned so that
-paragraphs of Jaccard similarity 0.7 collide with probability 0.98. Equal
+paragraphs of Jaccard similarity 0.6 collide with probability 0.967. Equal
 paragraphs are one class from the start; classes that share a band are joined to
 the least and greatest class of that band (a star, never all pairs), and every
 link is verified by exact Jaccard of the two shingle sets, at least ``JACCARD``.
@@ -34,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, read_table, split_by_keys, text_buffer
+from .common import blocks, cut, read_table, split_by_keys, text_buffer, tidy
 from .graph import components
 from .simhash import _ENDS
 from .words import LOWER, P, Q, Words, mix, shingles, spans, sums
 
 LEAST_WORDS = 20
-BANDS, ROWS, SHINGLE = 10, 3, 3
+BANDS, ROWS, SHINGLE = 14, 3, 3
 JACCARD = 0.5
 ROUNDS = 1
 #: A chunk ends after one word pair in so many; shorter ones than CHUNK_WORDS aren't recorded.
@@ -147,7 +147,7 @@ def find_units(docs: DataFrame) -> DataFrame:
                     ints = [pa.array(np.asarray(x, np.int32)) for x in (np.full(n, kind), u.get("nth", zero), u["start"], u["end"], u.get("first", zero), u["words"])]
                     yield pa.RecordBatch.from_arrays([doc.take(at), ids.take(at), *ints, pa.array(u["hash"]), bands], NAMES)
 
-    return docs.select(_key().alias("doc"), F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, UNIT)
+    return docs.select(_key().alias("doc"), F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), UNIT)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     rows = docs.where("text IS NOT NULL").select(_key().alias("doc"), F.col("text").cast("string").alias("text"))
     maybe, _ = split_by_keys(rows, wanted, "doc")
     once = maybe.join(places, "doc").dropDuplicates(["doc"])
-    return once.select("text", "places").mapInArrow(run, "h long, set array<long>")
+    return once.select("text", "places").mapInArrow(tidy(run), "h long, set array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
@@ -268,6 +268,8 @@ def remove(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
                     # a whole line goes with its newline
                     if b < len(raw) and raw[b] == 10 and (a == 0 or raw[a - 1] == 10):
                         b += 1
+                    elif b == len(raw) and a > at and raw[a - 1] == 10:
+                        a -= 1
                     keep.append(raw[at:a])
                     at = b
                 t = b"".join([*keep, raw[at:]]).decode()
