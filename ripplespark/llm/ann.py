@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, read_table
+from .common import cut, read_table, tidy
 
 TABLES = 2
 HASHES = 6
@@ -159,7 +159,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_
             for t, codes in enumerate(family.buckets(v)):
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.full(b.num_rows, t, np.int32)), pa.array(codes.astype(np.int32))], ["id", "v", "t", "bucket"])
 
-    table = base.mapInArrow(hashed, "id long, v array<double>, t int, bucket int")
+    table = base.mapInArrow(tidy(hashed), "id long, v array<double>, t int, bucket int")
     counts = table.groupBy("t", "bucket").count().collect()  # at most TABLES * CUTS**HASHES rows
     size = np.zeros((family.tables, family.cuts**family.hashes), np.int64)
     for r in counts:
@@ -219,7 +219,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_
         got = _top(q["id"].to_numpy(), np.stack(q["v"].to_numpy()), visit, c["id"].to_numpy(), np.stack(c["v"].to_numpy()), np.searchsorted(own, c["bucket"].to_numpy()), k)
         return pd.DataFrame({"query_id": np.concatenate(got[0]), "vec_id": np.concatenate(got[1]), "score": np.concatenate(got[2])})
 
-    placed = table.mapInArrow(place, PLACED).unionByName(asked.mapInArrow(probe, PLACED))
+    placed = table.mapInArrow(tidy(place), PLACED).unionByName(asked.mapInArrow(tidy(probe), PLACED))
     found = placed.groupBy("part", "piece", "block").applyInPandas(score, "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

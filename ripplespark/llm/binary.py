@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import blocks, fs_of, new_path, publish, read_table, text_buffer
+from .common import blocks, fs_of, new_path, publish, read_table, text_buffer, tidy
 from .tokens import gather
 
 MAGIC = b"RPR1"
@@ -238,7 +238,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": [len(names)], "n_ids": [n_ids], "n_symbols": [n_symbols], "n_bytes": [len(data)]})
 
     sorted_docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return sorted_docs.mapInArrow(run, "shard int, path string, n_docs long, n_ids long, n_symbols long, n_bytes long")
+    return sorted_docs.mapInArrow(tidy(run), "shard int, path string, n_docs long, n_ids long, n_symbols long, n_bytes long")
 
 
 def read_shards(files: DataFrame) -> DataFrame:
@@ -267,7 +267,7 @@ def read_shards(files: DataFrame) -> DataFrame:
                 )
 
     spread = starts.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard")
-    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
+    return spread.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
 
 
 def op10_binary(spark: SparkSession, sf_dir: str) -> DataFrame:

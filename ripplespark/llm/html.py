@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read_table, split_by_keys
+from .common import cut, read_table, split_by_keys, tidy
 
 LEAST_PAGES = 8
 LEAST_SHARE = 0.02
@@ -309,7 +309,7 @@ def pages(rows: DataFrame) -> DataFrame:
                 uid += n
 
     host = F.xxhash64(F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit("")))
-    return rows.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), host.alias("host")).mapInArrow(run, PAGE)
+    return rows.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), host.alias("host")).mapInArrow(tidy(run), PAGE)
 
 
 def templates(parsed: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:

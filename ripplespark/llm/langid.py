@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, read_table, text_buffer
+from .common import blocks, cut, read_table, text_buffer, tidy
 from .words import LOWER
 
 ORDER = 3
@@ -82,12 +82,11 @@ class Counts:
 
 def count_grams(texts: list[str], symbol: np.ndarray | None) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Byte counts of texts and, with an alphabet, the (code, count) pairs of orders 0 to ORDER."""
-    total, grams = np.zeros(256, np.int64), [{} for _ in range(ORDER + 1)]
     raw = [t.encode() for t in texts]
     buf, offs = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
     x, at = normalise(buf, offs)
     if symbol is None:
-        return np.bincount(x, minlength=256), []
+        return np.bincount(x, minlength=256), []  # an alphabet is chosen from these
     scored = np.ones(len(x), bool)
     for k in range(3):
         scored[at[:-1] + k] = False
@@ -98,7 +97,7 @@ def count_grams(texts: list[str], symbol: np.ndarray | None) -> tuple[np.ndarray
             scale *= size
             code = code + y[pos - k] * scale
         out.append(np.unique(code, return_counts=True))
-    return total, out
+    return np.zeros(256, np.int64), out
 
 
 class Model:
@@ -178,6 +177,7 @@ class Model:
 
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Counts | None:
     """Counts from a bounded sample of ``docs`` (``doc_id``, ``text``, ``lang``); None if no row has a label."""
+    docs = docs.select("doc_id", "text", "lang")
     ids = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("i"), F.col("lang").alias("l"))
     order = Window.partitionBy("l").orderBy(F.xxhash64(F.lit(5), "i"), "i")
     chosen = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("i", "l").distinct()
@@ -189,8 +189,6 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Counts | None:
     def part(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"lang": [key[0]], "bytes": [count_grams(pdf["text"].tolist(), None)[0].astype(np.int64).tobytes()]})
 
-    from .common import cut
-
     rows = cut(rows, "sample")
     freq = rows.groupBy("lang").applyInPandas(part, "lang string, bytes binary").collect()
     if not freq:
@@ -243,7 +241,7 @@ def identify(docs: DataFrame, counts: Counts | None) -> DataFrame:
                             names[i], score[i] = "und", 0.0
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def held_out(doc_id: str = "doc_id"):

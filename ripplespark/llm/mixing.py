@@ -179,10 +179,10 @@ def draw(rows: DataFrame, sources: DataFrame, blocks: DataFrame, shards: int = 1
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, shards: int = 16, seed: int = 7) -> DataFrame:
     """The mix itself: a row for each time a document is drawn, with ``mix_shard`` and ``mix_key``, by which a shard is ordered."""
     _, sources, blocks = plan(docs, weights, share, cap, shards, seed)
-    rows = docs.withColumn("h", _columns(seed)["h"])
-    drawn = draw(rows, sources, blocks, shards).drop("source_size", "target")
-    out = drawn.select(*docs.columns, "h", F.posexplode("shards").alias("nth", "mix_shard"))
-    return out.withColumn("mix_key", F.xxhash64("mix_shard", "h", "nth")).drop("h", "nth")
+    # the rows themselves travel as one column, so their names can't clash with the plan's
+    rows = docs.select("source", _columns(seed)["h"].alias("h"), F.struct("*").alias("row"))
+    drawn = draw(rows, sources, blocks, shards).select("row", "h", F.posexplode("shards").alias("nth", "mix_shard"))
+    return drawn.select("row.*", "mix_shard", F.xxhash64("mix_shard", "h", "nth").alias("mix_key"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

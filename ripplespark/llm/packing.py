@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import blocks, cut, read_table, text_buffer
+from .common import blocks, cut, read_table, text_buffer, tidy
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
 
@@ -76,7 +76,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, max_len: int) -> DataFr
                     ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "nth"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), SCHEMA)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, max_len: int = 2048) -> DataFrame:

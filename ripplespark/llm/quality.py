@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, drop_keys, read_table, split_by_keys, text_buffer
-from .words import Q, P, LOWER, Words, mix, shingles, spans, sums
+from .common import blocks, cut, drop_keys, read_table, split_by_keys, text_buffer, tidy
+from .words import LOWER, P, Q, SPACE, Words, mix, shingles, spans, sums
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
@@ -78,8 +78,6 @@ def measure_block(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray
         c = np.concatenate([[0], np.cumsum(flags)])
         return c[offsets[1:]] - c[offsets[:-1]]
 
-    from .words import SPACE
-
     chars = total(((buf & 0xC0) != 0x80) & ~SPACE[buf])
     out: dict[str, np.ndarray | list] = {"n_words": w.counts, "word_chars": chars, "n_symbols": total(SYMBOLS[buf])}
 
@@ -131,7 +129,7 @@ def measure(docs: DataFrame) -> DataFrame:
                 uid += hi - lo
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(tidy(run), SCHEMA)
 
 
 def frequent_lines(measured: DataFrame, least_docs: int = LEAST_DOCS, least_share: float = LEAST_SHARE) -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, drop_keys, read_table, text_buffer
+from .common import blocks, cut, drop_keys, read_table, text_buffer, tidy
 from .graph import components
 from .words import LOWER, SPACE, Words, mix
 
@@ -95,7 +95,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
     text = F.col("text").cast("string")
     t1, t2 = (F.when(text.isNotNull(), F.xxhash64(F.lit(s), text, F.octet_length(text))) for s in (1, 2))
-    return docs.select(F.col("doc_id").cast("long"), t1.alias("t1"), t2.alias("t2"), text.alias("text")).mapInArrow(run, FP)
+    return docs.select(F.col("doc_id").cast("long"), t1.alias("t1"), t2.alias("t2"), text.alias("text")).mapInArrow(tidy(run), FP)
 
 
 def tries_for(depth: int, reach: float = REACH, recall: float = RECALL) -> int:
@@ -143,7 +143,7 @@ def _spread(rows: DataFrame, depth: int, tries: int, level: int) -> DataFrame:
                 at = np.repeat(np.arange(len(f)), tries)
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), *(part.column(i).take(pa.array(at)) for i in range(1, 6))], [x.split()[0] for x in BUCKETS.split(", ")])
 
-    return rows.mapInArrow(run, BUCKETS)
+    return rows.mapInArrow(tidy(run), BUCKETS)
 
 
 def links_of(bucket: np.ndarray, node: np.ndarray, f: np.ndarray, limit: int = LIMIT, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +217,7 @@ def _compare(rows: DataFrame, limit: int, sided: bool = False) -> DataFrame:
         if n:
             yield work(pa.Table.from_batches(held))
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "u long, v long")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), "u long, v long")
 
 
 def forest_links(nodes: DataFrame, limit: int = LIMIT, dense: int = DENSE, levels: int = LEVELS) -> DataFrame:

@@ -20,8 +20,8 @@ import numpy as np
 from .words import Words
 
 #: Strings that are numbered before the numbering begins anew, and names of a generation that strings are made of.
-ENTRIES = 2_000_000
-NAMES = 500_000
+ENTRIES = 1_000_000
+NAMES = 200_000
 
 
 #: Marks after a word that the tokenizer reads apart from it, as one.
@@ -102,7 +102,7 @@ class Strings:
 class Table:
     """Numbers by (hash, first bytes): open addressing, whole arrays at a time."""
 
-    def __init__(self, bits: int = 22):
+    def __init__(self, bits: int = 21):
         self.bits, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.key, self.check, self.value = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
 
@@ -184,8 +184,8 @@ class Encoder:
 
     def _learn_any(self, chunks: list[str]) -> None:
         """Ids of chunks by their places in one joined text."""
-        for k in range(0, len(chunks), 20_000):
-            part = chunks[k : k + 20_000]
+        for k in range(0, len(chunks), 10_000):
+            part = chunks[k : k + 10_000]
             e = self.tok.encode(" ".join(part), add_special_tokens=False)
             ids = np.asarray(e.ids, np.uint32)
             at = np.fromiter((a for a, _ in e.offsets), np.int64, len(ids))
@@ -194,8 +194,8 @@ class Encoder:
 
     def _learn_plain(self, words: list[str]) -> None:
         """Ids of words of letters alone: each ends with its one id that has the word-end mark."""
-        for k in range(0, len(words), 20_000):
-            part = words[k : k + 20_000]
+        for k in range(0, len(words), 10_000):
+            part = words[k : k + 10_000]
             ids = np.asarray(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part):
