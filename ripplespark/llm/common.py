@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of a key filter: 2**23 bits are 1 MiB, however many keys there are.
+#: Bits of a key filter: 2**23 bits are 2**17 words, however many keys there are.
 FILTER_BITS = 1 << 23
 
 
@@ -86,7 +86,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def blocks(offsets: np.ndarray, size: int = 1 << 20):
+def blocks(offsets: np.ndarray, size: int = 1 << 18):
     """Row ranges ``(first, end)`` of about ``size`` bytes, one row at least."""
     first, n = 0, len(offsets) - 1
     while first < n:
@@ -96,45 +96,19 @@ def blocks(offsets: np.ndarray, size: int = 1 << 20):
         first = end
 
 
-def key_bits(df: DataFrame, key: str) -> np.ndarray:
-    """A bit for the hash of each key of ``df``: 1 MiB, however long ``df`` is."""
-    at = F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS))
-    words = (
-        df.select(at.alias("at"))
-        .groupBy((F.col("at") / 64).cast("int").alias("w"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("m"))
-        .collect()
-    )
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    for w, m in words:
-        bits[w] = m
-    return bits
-
-
-def may_hold(bits, key_hash: str):
-    """A column function: whether the filter may hold the key whose hash it gets."""
-
-    @F.pandas_udf("boolean")
-    def test(h):
-        at = h.to_numpy() % FILTER_BITS
-        import pandas as pd
-
-        return pd.Series(((bits.value[at >> 6] >> (at & 63)) & 1).astype(bool))
-
-    return test(F.xxhash64(F.col(key_hash)))
-
-
 def split_by_keys(docs: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """``docs`` in two: rows that may be among ``keys``, rows that surely aren't.
 
     The second part needs no join, so its texts are never shuffled. The first is
     a superset of the rows with a key (a bit may be shared) and goes on to an
-    exact join. The filter's size is fixed, so it is safe to broadcast.
+    exact join. The filter is a table of ``FILTER_BITS / 64`` words of bits at
+    most, however many keys there are, so it is safe to broadcast.
     """
-    spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(key_bits(keys, key))
-    maybe = F.coalesce(may_hold(bits, key), F.lit(False))
-    return docs.where(maybe), docs.where(~maybe)
+    at = F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS)).cast("int")
+    words = keys.select(at.alias("a")).groupBy(F.shiftright("a", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, a & 63)")).alias("_bits"))
+    marked = docs.withColumn("_slot", at).join(F.broadcast(cut(words, "filter")), F.shiftright("_slot", 6) == F.col("_word"), "left")
+    hit = F.coalesce(F.expr("shiftright(_bits, _slot & 63) & 1L") == 1, F.lit(False))
+    return marked.where(hit).select(*docs.columns), marked.where(~hit).select(*docs.columns)
 
 
 def drop_keys(docs: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
