@@ -414,6 +414,50 @@ def store_stats(spark: SparkSession, d: str) -> DataFrame:
     return summary.store_stats(s.select("file").distinct().withColumn("present", F.lit(True)), s, T.edges(spark, d))
 
 
+@query(f"WITH {T.SYMBOLS_SQL} SELECT file AS path, bool_or(kind = 'function') AS cache_update, bool_or(ends_with(file, '.rs')) AS local_dfg, bool_or(start_line > 50) AS explanation, array_to_string(list_sort(list(DISTINCT name)), ',') AS reasons FROM symbols GROUP BY file")
+def slice_merge(spark: SparkSession, d: str) -> DataFrame:
+    s = T.symbols(spark, d)
+    rows = s.select(F.col("file").alias("path"), (F.col("kind") == "function").alias("cache_update"), F.col("file").endswith(".rs").alias("local_dfg"), (F.col("start_line") > 50).alias("explanation"), F.col("name").alias("reason"))
+    return summary.merge_slices(rows).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query(f"WITH {T.EDGES_SQL} SELECT src, dst, line, max(line) OVER (PARTITION BY src) AS last_line FROM edges")
+def side_last_call(spark: SparkSession, d: str) -> DataFrame:
+    return summary.side_last_call(T.edges(spark, d), ["src"]).select("src", "dst", "line", "last_line")
+
+
+@query(f"WITH {T.SYMBOLS_SQL} SELECT DISTINCT file FROM symbols WHERE ends_with(file, '.rs') OR ends_with(file, '.rb')")
+def local_dfg_files(spark: SparkSession, d: str) -> DataFrame:
+    return filters.local_dfg_files(T.symbols(spark, d), "file").select("file").distinct()
+
+
+@query(
+    """SELECT n_nationkey AS k, CASE n_nationkey % 5 WHEN 0 THEN 'c' || n_nationkey WHEN 1 THEN 'a::b' || n_nationkey || '::c' WHEN 2 THEN 'a::c' WHEN 3 THEN 'a::c' ELSE 'a::b' || n_nationkey || '::x::y' END AS expanded,
+CASE n_nationkey % 3 WHEN 0 THEN 'a/c' || n_nationkey WHEN 1 THEN '../z' ELSE 'x/y' END AS normalised FROM nation"""
+)
+def relative_paths(spark: SparkSession, d: str) -> DataFrame:
+    n = T.read(spark, d, "nation")
+    k = F.col("n_nationkey").cast("string")
+    path = F.when(F.col("n_nationkey") % 5 == 0, F.concat(F.lit("crate::c"), k)).when(F.col("n_nationkey") % 5 == 1, "self::c").when(F.col("n_nationkey") % 5 == 2, "super::c").when(F.col("n_nationkey") % 5 == 3, "self::super::super::c").otherwise("x::y")
+    raw = F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("./a/b/../c"), k)).when(F.col("n_nationkey") % 3 == 1, "a/../../z").otherwise("x//./y/")
+    return n.select(F.col("n_nationkey").alias("k"), paths.expand_relative(F.concat(F.lit("a::b"), k), path).alias("expanded"), paths.normalise(raw).alias("normalised"))
+
+
+@query(
+    f"""WITH {T.EDGES_SQL}, s AS (SELECT src, count(*) AS calls, count(*) FILTER (kind = 'data') AS flows, min(line) AS at FROM edges GROUP BY src), p AS (SELECT a.src AS winner, b.src AS loser, a.calls AS ac, b.calls AS bc, a.flows AS af, b.flows AS bf, a.at AS aa, b.at AS ba
+FROM s a JOIN edges e ON e.src = a.src JOIN s b ON b.src = e.dst)
+SELECT winner, loser, CASE WHEN ac <> bc THEN CASE WHEN ac > bc THEN 'primary_evidence_count' END WHEN af <> bf THEN CASE WHEN af > bf THEN 'secondary_evidence_count' END WHEN aa <> ba THEN CASE WHEN aa > ba THEN 'call_position_rank' END WHEN winner <> loser THEN CASE WHEN winner < loser THEN 'lexical_tiebreak' END END AS better_by FROM p"""
+)
+def first_better_field(spark: SparkSession, d: str) -> DataFrame:
+    e = T.edges(spark, d)
+    none = F.lit(0)
+    fields = {"source_rank": none, "lane_rank": none, "primary_evidence_count": F.count("*"), "negative_evidence_count": none, "semantic_support_rank": none, "secondary_evidence_count": F.count(F.when(F.col("kind") == "data", 1)), "call_position_rank": F.min("line")}
+    s = e.groupBy("src").agg(*(c.alias(n) if n not in ("source_rank", "lane_rank", "negative_evidence_count", "semantic_support_rank") else F.max(none).alias(n) for n, c in fields.items()))
+    s = s.select("src", F.struct(*fields, F.col("src").alias("lexical_tiebreak")).alias("score"))
+    pairs = e.select("src", "dst").join(s.withColumnRenamed("score", "w"), "src").join(s.select(F.col("src").alias("dst"), F.col("score").alias("l")), "dst")
+    return pairs.select(F.col("src").alias("winner"), F.col("dst").alias("loser"), ranking.first_better("w", "l").alias("better_by"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth buckets and risk of what reaches the first part of each brand."""
     found = _impact(spark, sf_dir)
