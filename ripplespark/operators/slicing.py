@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.paths import module_keys
 from ..work import cut
 from .graph import adjacency
 
@@ -155,9 +156,16 @@ def admit(cand: DataFrame, seed: str = "seed_id", tier: int = 2, files: int = TI
         sides: dict[str, int] = {}
         keys: set[str] = set()
         families: dict[str, int] = {}
+        supported: set[tuple] = set()
         out = []
         for r in rows:
             why = r["prune_reason"]
+            lane = (r["via"], r["lane"])
+            if r["file"].endswith(".rs"):
+                if r["semantic_support_rank"] > 0:
+                    supported.add(lane)
+                elif lane in supported:  # a sibling with data-flow support goes before it
+                    why = why or "suppressed_before_admit"
             if not why:
                 if (r["via"], r["file"]) in by_path:
                     why = "weaker_same_path_duplicate"
@@ -219,3 +227,16 @@ def plan_slice(edges: DataFrame, seeds: DataFrame, symbols: DataFrame, direction
     chosen = root.unionByName(direct).unionByName(picked)
     chosen = chosen.withColumns({"cache_update": F.lit(True), "local_dfg": F.col("path").rlike(r"\.(rs|rb)$"), "explanation": F.lit(True)})
     return chosen, both.where("NOT admitted").select("seed_id", F.col("file").alias("path"), "tier", "id", "via", "lane", "bridge_kind", "family", "prune_reason")
+
+
+def ruby_fallback(near: DataFrame, imports: DataFrame, refs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Candidates that a Ruby boundary file requires and calls by name though no edge leads there.
+
+    ``near``: ``seed_id``, ``via``, ``via_file``. A required file's method counts if the boundary file has a reference
+    of exactly that name (inferred), such as a literal ``send``. Rows: seed_id, via, id, file, certainty.
+    """
+    required = imports.where("entry_type = 'glob'").where(F.col("file").endswith(".rb")).select(F.col("file").alias("via_file"), F.col("target").alias("module"))
+    named = refs.where(F.col("file").endswith(".rb")).select(F.col("file").alias("via_file"), "name").distinct()
+    methods = symbols.where("language = 'ruby' AND kind = 'method'").select("id", "name", "file", F.explode(module_keys(F.col("file"))).alias("module"))
+    found = near.where(F.col("via_file").endswith(".rb")).select("seed_id", "via", "via_file").distinct().join(required, "via_file").join(named, "via_file").join(methods, ["module", "name"])
+    return found.where("file <> via_file").select("seed_id", "via", "id", "file", F.lit("inferred").alias("certainty")).distinct()

@@ -122,6 +122,22 @@ def test_slice_plan(spark):
     assert {r["name"] for r in report.impacted.collect()} == {"wrapper", "source_main", "helper"}
 
 
+def test_ruby_fallback(spark):
+    f = files(spark, [("lib/a.rb", "require_relative './b'\ndef entry\n  send(:work)\nend\n"), ("lib/b.rb", "def work\n  1\nend\ndef rest\n  2\nend\n")])
+    s, r, i = code.extract(f)
+    near = spark.createDataFrame([("q", "ruby:lib/a.rb:method:entry:2", "lib/a.rb")], "seed_id string, via string, via_file string")
+    assert [x["id"] for x in slicing.ruby_fallback(near, i, r, s).collect()] == ["ruby:lib/b.rb:method:work:1"]
+
+
+def test_supported_sibling_goes_first():
+    common = {"prune_reason": None, "lane": "return", "via": "v", "via_file": "w.rs", "bridge_kind": "wrapper_return", "family": "return", "primary_evidence": ["return_flow"], "secondary_evidence": [], "noisy": False, "source_rank": 0, "lane_rank": 0, "primary_evidence_count": 1, "negative_evidence_count": 0, "secondary_evidence_count": 0, "call_position_rank": 1}
+    a = common | {"id": "b", "file": "b.rs", "semantic_support_rank": 3, "lexical_tiebreak": "b"}
+    b = common | {"id": "a", "file": "a.rs", "semantic_support_rank": 0, "lexical_tiebreak": "a"}
+    assert slicing.compare(a, b) == -1
+    alias = common | {"id": "c", "file": "c.rb", "lane": "alias", "primary_evidence": ["alias_chain", "assigned_result"], "lane_rank": 1, "semantic_support_rank": 0, "lexical_tiebreak": "c"}
+    assert slicing.compare(alias, b) == -1 and slicing.compare(b, alias) == 1
+
+
 def test_explanations(spark):
     scoring = "struct<source_rank:int,lane_rank:int,primary_evidence_count:int,negative_evidence_count:int,semantic_support_rank:int,secondary_evidence_count:int,call_position_rank:int,lexical_tiebreak:string>"
     ddl = f"seed_id string, via string, path string, primary_evidence array<string>, scoring {scoring}"
