@@ -122,6 +122,27 @@ def pick(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*columns)
 
 
+def edit_text(rows: DataFrame, names: Sequence[str], edit, rows_at_once: int = 128) -> DataFrame:
+    """The columns ``names`` of ``rows`` with ``text`` as ``edit(text, mark)`` makes it, where the column ``_mark`` isn't null.
+
+    A few rows are edited at a time, so a worker holds little beside the batch that it reads.
+    """
+    shape = rows.select(*names).schema
+    at = list(names).index("text")
+
+    def run(batches):
+        for whole in batches:
+            for lo in range(0, whole.num_rows, rows_at_once):
+                b = whole.slice(lo, rows_at_once)
+                texts, marks = b.column(at).to_pylist(), b.column(len(names)).to_pylist()
+                out = [t if t is None or m is None else edit(t, m) for t, m in zip(texts, marks)]
+                columns = [b.column(i) for i in range(len(names))]
+                columns[at] = pa.array(out, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, list(names))
+
+    return rows.select(*names, "_mark").mapInArrow(tidy(run), shape)
+
+
 def tidy(run):
     """``run`` (for ``mapInArrow``), which gives unused memory back to the system when a task ends: workers are kept and reused."""
 

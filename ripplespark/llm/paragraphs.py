@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, read_table, split_by_keys, text_buffer, tidy
+from .common import blocks, cut, edit_text, read_table, split_by_keys, text_buffer, tidy
 from .graph import components
 from .simhash import _ENDS
 from .words import LOWER, P, Q, Words, mix, shingles, spans, sums
@@ -248,38 +248,29 @@ def repeats(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
 
 def remove(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     """``docs`` without its repeats, ``n_chars`` set anew; a document of which no word is left goes."""
-    spans_ = cut(repeats(docs, jaccard).groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("_spans")), "spans")
+    marks = cut(repeats(docs, jaccard).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.array("start", "end")).alias("_mark")), "spans")
     names = docs.columns
-    keyed = docs.withColumn("_doc", _key())
-    maybe, clear = split_by_keys(keyed, spans_.withColumnRenamed("doc", "_doc"), "_doc")
-
-    @F.pandas_udf("string")
-    def without(text, spans_):
-        import pandas as pd
-
-        out = []
-        for t, s in zip(text, spans_):
-            if t is not None and s is not None:
-                raw, at, keep = t.encode(), 0, []
-                for x in sorted((x["start"], x["end"]) for x in s):
-                    a, b = max(x[0], at), x[1]
-                    if b <= at:
-                        continue
-                    # a whole line goes with its newline
-                    if b < len(raw) and raw[b] == 10 and (a == 0 or raw[a - 1] == 10):
-                        b += 1
-                    elif b == len(raw) and a > at and raw[a - 1] == 10:
-                        a -= 1
-                    keep.append(raw[at:a])
-                    at = b
-                t = b"".join([*keep, raw[at:]]).decode()
-                t = t if t.strip() else None
-            out.append(t)
-        return pd.Series(out, dtype=object)
-
-    joined = maybe.join(spans_.withColumnRenamed("doc", "_doc"), "_doc", "left")
-    same = joined.where("_spans IS NULL").select(*names)
-    changed = joined.where("_spans IS NOT NULL").withColumn("text", without("text", "_spans")).where("text IS NOT NULL")
+    maybe, clear = split_by_keys(docs.withColumn("_doc", _key()), marks, "_doc")
+
+    def without(text: str, mark: list[list[int]]) -> str | None:
+        raw, at, keep = text.encode(), 0, []
+        for a, b in sorted(map(tuple, mark)):
+            a = max(a, at)
+            if b <= at:
+                continue
+            # a whole line goes with its newline
+            if b < len(raw) and raw[b] == 10 and (a == 0 or raw[a - 1] == 10):
+                b += 1
+            elif b == len(raw) and a > at and raw[a - 1] == 10:
+                a -= 1
+            keep.append(raw[at:a])
+            at = b
+        left = b"".join([*keep, raw[at:]]).decode()
+        return left if left.strip() else None
+
+    joined = maybe.join(marks, "_doc", "left")
+    same = joined.where("_mark IS NULL").select(*names)
+    changed = edit_text(joined.where("_mark IS NOT NULL"), names, without).where("text IS NOT NULL")
     if "n_chars" in names:
         changed = changed.withColumn("n_chars", F.length("text").cast("long"))
     return clear.select(*names).unionByName(same).unionByName(changed.select(*names))

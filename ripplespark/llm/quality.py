@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, drop_keys, read_table, split_by_keys, text_buffer, tidy
+from .common import blocks, cut, drop_keys, edit_text, read_table, split_by_keys, text_buffer, tidy
 from .words import LOWER, P, Q, SPACE, Words, mix, shingles, spans, sums
 
 SYMBOLS = np.zeros(256, bool)
@@ -162,31 +162,23 @@ def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """``docs`` with its removed lines (``doc_id``, ``line``) cut out of ``text`` and ``n_chars`` set anew."""
     maybe, clear = split_by_keys(docs, removed, "doc_id")
     names = docs.columns
-    marks = removed.groupBy("doc_id").agg(F.collect_set("line").alias("_lines"))  # a document's own lines
-
-    @F.pandas_udf("string")
-    def strip(text, marks):
-        import pandas as pd
-
-        out = []
-        for t, m in zip(text, marks):
-            if t is not None and m is not None and len(m):
-                raw = t.encode()
-                buf, offs = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
-                w = Words(buf, offs)
-                lines = Lines(w, buf, offs)
-                drop = np.flatnonzero(np.isin(folded(w, buf, lines).view(np.int64), np.asarray(m, np.int64)))
-                at = set(lines.start[drop].tolist())
-                keep, pos = [], 0
-                for line in raw.split(b"\n"):
-                    if pos not in at or not line.strip():
-                        keep.append(line)
-                    pos += len(line) + 1
-                t = b"\n".join(keep).decode()
-            out.append(t)
-        return pd.Series(out, dtype=object)
-
-    changed = maybe.join(marks, "doc_id", "left").withColumn("text", strip("text", "_lines")).select(*names)
+    marks = removed.groupBy("doc_id").agg(F.collect_set("line").alias("_mark"))  # a document's own lines
+
+    def strip(text: str, mark: list[int]) -> str:
+        raw = text.encode()
+        buf, offs = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+        w = Words(buf, offs)
+        lines = Lines(w, buf, offs)
+        drop = np.flatnonzero(np.isin(folded(w, buf, lines).view(np.int64), np.asarray(mark, np.int64)))
+        at = set(lines.start[drop].tolist())
+        keep, pos = [], 0
+        for line in raw.split(b"\n"):
+            if pos not in at or not line.strip():
+                keep.append(line)
+            pos += len(line) + 1
+        return b"\n".join(keep).decode()
+
+    changed = edit_text(maybe.join(marks, "doc_id", "left"), names, strip)
     out = clear.unionByName(changed)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out
 
