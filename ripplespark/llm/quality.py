@@ -36,8 +36,10 @@ LEAST_DOCS = 20
 LEAST_SHARE = 0.01
 LEAST_LEFT = 0.5
 SALTS = 16
+#: Frequent lines (8 bytes each) that may be sent to all tasks.
+MOST_FREQUENT = 1_000_000
 
-SCHEMA = "uid long, doc_id long, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content long, lines array<long>, line_words array<int>"
+SCHEMA = "uid long, row_key long, doc_id long, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content long, lines array<long>, line_words array<int>"
 
 
 def _counts(groups: np.ndarray, n: int) -> np.ndarray:
@@ -120,6 +122,7 @@ def measure(docs: DataFrame) -> DataFrame:
                 first = pa.array(np.searchsorted(m["line_row"], np.arange(hi - lo + 1)).astype(np.int32))
                 columns = [
                     pa.array(uid + np.arange(hi - lo)),
+                    b.column(3).slice(lo, hi - lo),
                     b.column(0).slice(lo, hi - lo),
                     b.column(1).slice(lo, hi - lo),
                     *(pa.array(np.asarray(m[k], np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content")),
@@ -129,7 +132,8 @@ def measure(docs: DataFrame) -> DataFrame:
                 uid += hi - lo
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(tidy(run), SCHEMA)
+    doc, source, text = F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")
+    return docs.select(doc, source, text, F.xxhash64(F.lit(31), doc, source, text).alias("row_key")).mapInArrow(tidy(run), SCHEMA)
 
 
 def frequent_lines(measured: DataFrame, least_docs: int = LEAST_DOCS, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -142,57 +146,113 @@ def frequent_lines(measured: DataFrame, least_docs: int = LEAST_DOCS, least_shar
     return counts.join(hosts, "host").where(F.col("n") >= F.greatest(F.lit(float(least_docs)), F.col("docs") * least_share)).select("host", "line")
 
 
-def judge(docs: DataFrame, least_docs: int = LEAST_DOCS, least_share: float = LEAST_SHARE, least_left: float = LEAST_LEFT) -> tuple[DataFrame, DataFrame]:
-    """Verdicts of every row (op6's columns, ``removed_words``), and removed lines (``doc_id``, ``line``)."""
-    measured = cut(measure(docs), "measured")
-    frequent = cut(frequent_lines(measured, least_docs, least_share), "frequent")
+def verdict(measured: DataFrame, frequent: DataFrame, key: str, least_left: float = LEAST_LEFT) -> tuple[DataFrame, DataFrame]:
+    """Verdicts of measured rows, and removed lines (``key``, ``line``)."""
     host = F.xxhash64(F.col("source"), F.col("source").isNull()).alias("host")
-    held = measured.select("uid", "doc_id", host, F.explode(F.arrays_zip("lines", "line_words")).alias("x"))
-    held = held.select("uid", "doc_id", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"), F.pmod("uid", F.lit(SALTS)).alias("salt"))
+    held = measured.select("uid", key, host, F.explode(F.arrays_zip("lines", "line_words")).alias("x"))
+    held = held.select("uid", key, "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"), F.pmod("uid", F.lit(SALTS)).alias("salt"))
     salted = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    removed = cut(held.join(salted, ["host", "line", "salt"]).select("uid", "doc_id", "line", "words"), "removed")
+    removed = cut(held.join(salted, ["host", "line", "salt"]).select("uid", key, "line", "words"), "removed")
     lost = removed.groupBy("uid").agg(F.sum("words").alias("removed_words"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = measured.drop("lines", "line_words", "content").join(lost, "uid", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("n_words") - F.col("removed_words") >= least_left * F.col("n_words")))
-    return out.drop("uid", "source"), removed.select("doc_id", "line")
+    return out.drop("uid", "source"), removed.select(key, "line")
+
+
+def judge(docs: DataFrame, least_docs: int = LEAST_DOCS, least_share: float = LEAST_SHARE, least_left: float = LEAST_LEFT) -> tuple[DataFrame, DataFrame]:
+    """Verdicts of every row (op6's columns, ``removed_words``), and removed lines (``doc_id``, ``line``)."""
+    measured = cut(measure(docs), "measured")
+    verdicts, removed = verdict(measured, cut(frequent_lines(measured, least_docs, least_share), "frequent"), "doc_id", least_left)
+    return verdicts.drop("row_key"), removed
+
 
+def _strip(raw: bytes, start: np.ndarray) -> bytes:
+    """A text without the lines that begin at ``start``."""
+    at = set(start.tolist())
+    keep, pos = [], 0
+    for line in raw.split(b"\n"):
+        if pos not in at or not line.strip():
+            keep.append(line)
+        pos += len(line) + 1
+    return b"\n".join(keep)
 
-def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """``docs`` with its removed lines (``doc_id``, ``line``) cut out of ``text`` and ``n_chars`` set anew."""
-    maybe, clear = split_by_keys(docs, removed, "doc_id")
+
+def clean_rows(docs: DataFrame, frequent: np.ndarray, least_left: float = LEAST_LEFT) -> DataFrame:
+    """``docs`` without rejected rows and frequent lines, judged row by row where they lie.
+
+    ``frequent``: sorted hashes of (host, line); their number is checked by the caller.
+    """
     names = docs.columns
-    marks = removed.groupBy("doc_id").agg(F.collect_set("line").alias("_mark"))  # a document's own lines
+    held = docs.sparkSession.sparkContext.broadcast(frequent)
+    host = F.xxhash64(F.col("source").cast("string"), F.col("source").isNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, at = held.value, names.index("text")
+        for b in batches:
+            buf, offs = text_buffer(b.column(at))
+            hosts = b.column(len(names)).to_numpy().view(np.uint64)
+            for lo, hi in blocks(offs):
+                part, o = buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
+                m = measure_block(part, o)
+                w = Words(part, o)
+                lines = Lines(w, part, o)
+                key = mix(folded(w, part, lines) ^ hosts[lo:hi][lines.row])
+                gone = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key if len(known) else np.zeros(len(key), bool)
+                lost = np.bincount(lines.row[gone], (lines.last - lines.first)[gone], hi - lo)
+                n, again = m["n_words"], m["n_repeat_words"]
+                kept = ~((n < 50) | (100 * again > 50 * n)) & (n - lost >= least_left * n)
+                rows = np.flatnonzero(kept)
+                texts = []
+                for r in rows.tolist():
+                    raw = part[o[r] : o[r + 1]].tobytes()
+                    mine = lines.start[gone & (lines.row == r)] - o[r] if lost[r] else None
+                    texts.append((raw if mine is None else _strip(raw, mine)).decode())
+                columns = [c.take(pa.array(rows + lo)) for c in b.columns[:-1]]
+                columns[at] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return docs.select(*names, host.alias("_host")).mapInArrow(tidy(run), docs.schema)
+
+
+def without_lines(docs: DataFrame, removed: DataFrame, key: str) -> DataFrame:
+    """``docs`` with its removed lines (``key``, ``line``) cut out of ``text``."""
+    maybe, clear = split_by_keys(docs, removed, key)
+    names = docs.columns
+    marks = removed.groupBy(key).agg(F.collect_set("line").alias("_mark"))  # a document's own lines
 
     def strip(text: str, mark: list[int]) -> str:
         raw = text.encode()
         buf, offs = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
         w = Words(buf, offs)
         lines = Lines(w, buf, offs)
-        drop = np.flatnonzero(np.isin(folded(w, buf, lines).view(np.int64), np.asarray(mark, np.int64)))
-        at = set(lines.start[drop].tolist())
-        keep, pos = [], 0
-        for line in raw.split(b"\n"):
-            if pos not in at or not line.strip():
-                keep.append(line)
-            pos += len(line) + 1
-        return b"\n".join(keep).decode()
+        return _strip(raw, lines.start[np.isin(folded(w, buf, lines).view(np.int64), np.asarray(mark, np.int64))]).decode()
 
-    changed = edit_text(maybe.join(marks, "doc_id", "left"), names, strip)
-    out = clear.unionByName(changed)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out
+    return clear.unionByName(edit_text(maybe.join(marks, key, "left"), names, strip))
 
 
-def clean(docs: DataFrame) -> DataFrame:
-    """``docs`` without rejected documents, and without the frequent lines of those that stay.
+def clean(docs: DataFrame, most_frequent: int = MOST_FREQUENT) -> DataFrame:
+    """``docs`` without rejected rows, and without the frequent lines of those that stay; ``n_chars`` is set anew.
 
-    Rows that share a ``doc_id`` go if any of them is rejected.
+    Frequent lines are few (each is in a share of its host's documents). Up to
+    ``most_frequent`` of them are sent to all tasks, which judge their rows where
+    they lie; beyond that rows are joined by a hash of their id, source and text.
+    Both ways give the same rows.
     """
-    verdicts, removed = judge(docs)
-    verdicts = cut(verdicts.select("doc_id", "kept"), "verdicts")
-    rejected = verdicts.where("NOT kept").select("doc_id")
-    left = drop_keys(docs, rejected)
-    return without_lines(left, removed.join(rejected, "doc_id", "left_anti"))
+    measured = cut(measure(docs), "measured")
+    frequent = cut(frequent_lines(measured), "frequent")
+    n = frequent.count()
+    if n <= most_frequent:
+        pairs = frequent.toPandas()
+        key = np.sort(mix(pairs["line"].to_numpy(np.int64).view(np.uint64) ^ pairs["host"].to_numpy(np.int64).view(np.uint64)))
+        out = clean_rows(docs, key)
+    else:
+        verdicts, removed = verdict(measured, frequent, "row_key")
+        row_key = F.xxhash64(F.lit(31), F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
+        keyed = docs.withColumn("row_key", row_key)
+        rejected = cut(verdicts.where("NOT kept").select("row_key"), "verdicts")
+        out = without_lines(drop_keys(keyed, rejected, "row_key"), removed, "row_key").select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -255,6 +255,7 @@ def test_quality_rules(spark):
     assert not by.loc[80, "kept"]
     assert by.loc[range(81, 111), "kept"].all()  # copies don't condemn their own text
     cleaned = {r["doc_id"]: r["text"] for r in quality.clean(d).collect()}
+    assert sorted(map(tuple, quality.clean(d).collect()), key=str) == sorted(map(tuple, quality.clean(d, 0).collect()), key=str)  # both ways
     assert 80 not in cleaned and all("Rights" not in cleaned[i] and body[i] in cleaned[i] for i in range(80))
 
 
