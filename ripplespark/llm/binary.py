@@ -233,6 +233,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
             path = f"{folder}/shard-{shard:06d}.rpr"
             doc_words = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
             data = encode_shard(names, np.concatenate(parts), doc_words, enc.strings.flat, enc.strings.first, rounds)
+            enc.clear()
             publish(path, data)
             _, n_ids, n_symbols, *_ = struct.unpack_from("<6Q", data, 4)
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": [len(names)], "n_ids": [n_ids], "n_symbols": [n_symbols], "n_bytes": [len(data)]})

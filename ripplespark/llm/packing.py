@@ -75,6 +75,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, max_len: int) -> DataFr
                     [*(pa.array(x, pa.int64()) for x in out), pa.array(np.full(len(size), part, np.int32)), pa.array(nth)],
                     ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "nth"],
                 )
+        enc.clear()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), SCHEMA)
 

@@ -166,10 +166,14 @@ class Encoder:
         self.old: dict[str, int] = {}
 
     def begin(self) -> None:
-        """Begin the numbering anew if it is full. Numbers given before are void then."""
-        if len(self.strings) > ENTRIES:
+        """Begin the numbering anew if it is full or cleared. Numbers given before are void then."""
+        if self.table is None or len(self.strings) > ENTRIES:
             self._reset()
 
+    def clear(self) -> None:
+        """Give up all tables, as at the end of a task: idle workers then hold the tokenizer alone."""
+        self.strings, self.table, self.names, self.old = Strings(), None, {"": 0}, {}
+
     def whole(self, text: str) -> np.ndarray:
         """Ids of one text straight from the library."""
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
