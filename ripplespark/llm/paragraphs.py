@@ -6,8 +6,9 @@ paragraphs of Jaccard similarity 0.6 collide with probability 0.967. Equal
 paragraphs are one class from the start; classes that share a band are joined to
 the least and greatest class of that band (a star, never all pairs), and every
 link is verified by exact Jaccard of the two shingle sets, at least ``JACCARD``.
-Members whose links fail are joined again among themselves; those left after
-``ROUNDS`` are compared pairwise. Verified links are clustered by connected
+Members whose links fail are joined again among themselves, ``ROUNDS`` times. Then
+all pairs that share a band are compared, but for those that links already put in
+one component, so no component is lost. Verified links are clustered by connected
 components, and of each cluster the first paragraph (by doc_id and place) stays.
 
 A passage that lies inside longer, different paragraphs is found too: words are
@@ -43,6 +44,8 @@ LEAST_WORDS = 20
 BANDS, ROWS, SHINGLE = 14, 3, 3
 JACCARD = 0.5
 ROUNDS = 1
+#: Members of a band that are compared with all others of it in one task.
+BLOCK = 1024
 #: A chunk ends after one word pair in so many; shorter ones than CHUNK_WORDS aren't recorded.
 CHUNK_EVERY, CHUNK_WORDS = 5, 4
 PASSAGE_WORDS = 25
@@ -195,7 +198,7 @@ def paragraph_links(docs: DataFrame, classes: DataFrame, jaccard: float = JACCAR
     members = cut(maybe.join(stars.select("band"), "band"), "members")
     wanted = classes.join(members.select("h").distinct(), "h").select("first.doc", "first.start", "first.end", "h")
     sets = cut(shingle_sets(docs, cut(wanted, "wanted")), "sets")
-    links, left = None, members
+    links, tried, left = None, None, members
     for k in range(rounds + 1):
         ends = left.groupBy("band").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi")
         joined = left.join(ends, "band")
@@ -203,16 +206,28 @@ def paragraph_links(docs: DataFrame, classes: DataFrame, jaccard: float = JACCAR
         star = cut(star.select("band", F.least("h", "o").alias("u"), F.greatest("h", "o").alias("v"), "h"), "star")
         good = cut(verified(star.select("u", "v").distinct(), sets, jaccard), "good")
         links = good if links is None else links.unionByName(good)
+        tried = star.select("u", "v") if tried is None else tried.unionByName(star.select("u", "v"))
         done = star.join(good, ["u", "v"], "left_semi").select("band", "h")
         # ends that found no member are done as well: they were compared with all
         failed = star.select("band", "h").distinct().join(done.distinct(), ["band", "h"], "left_anti")
         failed = failed.join(ends, "band").where("h <> lo AND h <> hi").select("band", "h")
         left = cut(failed, "failed")
         if not left.limit(1).count():
-            return links.distinct()
-    a, b = left.withColumnRenamed("h", "u"), left.withColumnRenamed("h", "v")
-    rest = a.join(b, "band").where("u < v").select("u", "v").distinct()
-    return links.unionByName(verified(rest, sets, jaccard)).distinct()
+            break
+    # every pair of a band that isn't in one component yet, each member's block against the band's others
+    links = cut(links.distinct(), "stars")
+    size = sets.select("h", F.size("set").alias("n"))
+    named = members.join(size, "h").join(components(links).withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    named = cut(named, "named")
+    mixed = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("k")).where("lo < hi").select("band", "k")
+    open_ = named.join(mixed, "band")
+    a = open_.select("band", F.pmod(F.xxhash64("h"), F.col("k")).cast("int").alias("block"), F.col("h").alias("u"), F.col("root").alias("ru"), F.col("n").alias("nu"))
+    b = open_.select("band", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("block"), F.col("h").alias("v"), F.col("root").alias("rv"), F.col("n").alias("nv"))
+    # a set can't reach the similarity against one too large for it
+    fit = F.least("nu", "nv") >= jaccard * F.greatest("nu", "nv")
+    rest = a.join(b, ["band", "block"]).where(F.col("u") < F.col("v")).where("ru <> rv").where(fit).select("u", "v").distinct()
+    rest = cut(rest.join(tried.distinct(), ["u", "v"], "left_anti"), "rest")
+    return links.unionByName(verified(rest, sets, jaccard))
 
 
 def repeats(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:

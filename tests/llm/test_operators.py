@@ -505,3 +505,13 @@ def test_a_document_wholly_repeated_goes(spark):
     t = "\n".join(prose(rng, 30, 9000) for _ in range(3))
     left = paragraphs.remove(docs(spark, [t, t, "short own text"])).collect()
     assert [r["doc_id"] for r in sorted(left)] == [0, 2]
+
+
+def test_band_members_that_differ_from_both_ends_are_linked(spark):
+    line = [" ".join(f"w{i}" for i in range(k, k + 30)) for k in (0, 6, 12)] + [" ".join(f"v{i}" for i in range(30))]
+    d = docs(spark, line)
+    names = [1, 2, 3, 9]  # 1 ~ 2 ~ 3, not 1 ~ 3; 1 and 9 are the band's ends
+    classes = d.select("doc_id", paragraphs._key().alias("doc"), F.octet_length("text").alias("end"))
+    first = F.struct("doc_id", "doc", F.lit(0).alias("start"), "end").alias("first")
+    classes = classes.select(F.element_at(F.array(*map(F.lit, names)), F.col("doc_id").cast("int") + 1).cast("long").alias("h"), first, F.array(F.lit(7).cast("long")).alias("bands"))
+    assert {tuple(r) for r in paragraphs.paragraph_links(d, classes).collect()} == {(1, 2), (2, 3)}
