@@ -11,10 +11,15 @@ all pairs that share a band are compared, but for those that links already put i
 one component, so no component is lost. Verified links are clustered by connected
 components, and of each cluster the first paragraph (by doc_id and place) stays.
 
-A passage that lies inside longer, different paragraphs is found too: words are
-cut into chunks where the hash of two neighbouring words says so, which is the
-same wherever the passage stands. A run of chunks that all occur in an earlier
-document and span at least ``PASSAGE_WORDS`` words is removed.
+A passage that lies inside longer, different paragraphs is found too. Seeds are runs
+of ``PASSAGE_WORDS`` words, picked as the least hash of each ``WINDOW`` successive
+runs, so every repeat of 50 words holds a seed that is picked wherever it stands.
+Where the text around a seed isn't the same at all its places, all runs that begin
+within ``WINDOW`` words of it are read too, so a repeat is found to its true ends.
+A run is a repeat if its words (two 64-bit hashes of them in order) stand in an
+earlier document; the first such document is the one named. Repeats that overlap
+at one distance to one document are joined, so each row of a passage is, word for
+word, a part of the one document it names.
 
 Words are read with ASCII capitals as small letters, ASCII signs as white space.
 A paragraph or passage is only removed where the one that stays is in another
@@ -46,9 +51,9 @@ JACCARD = 0.5
 ROUNDS = 1
 #: Members of a band that are compared with all others of it in one task.
 BLOCK = 1024
-#: A chunk ends after one word pair in so many; shorter ones than CHUNK_WORDS aren't recorded.
-CHUNK_EVERY, CHUNK_WORDS = 5, 4
 PASSAGE_WORDS = 25
+#: Runs of which the least is a seed: a repeat of PASSAGE_WORDS + WINDOW - 1 words surely holds one.
+WINDOW = 25
 
 _rng = np.random.default_rng(23)
 _A = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -62,7 +67,7 @@ def _read(buf: np.ndarray, offsets: np.ndarray) -> Words:
 
 
 def units(buf: np.ndarray, offsets: np.ndarray) -> tuple[dict, dict]:
-    """Paragraphs (row, nth, start, end, words, hash, bands) and chunks (row, nth, start, end, first word, words, hash) of a block."""
+    """Paragraphs (row, start, end, words, hash, bands) and seeds (row, start, end, first word, words, hash, other) of a block."""
     w = _read(buf, offsets)
     n = len(w.hash)
     breaks = np.flatnonzero(buf == 10)
@@ -110,23 +115,54 @@ def units(buf: np.ndarray, offsets: np.ndarray) -> tuple[dict, dict]:
     else:
         para["bands"] = np.zeros((0, BANDS), np.int64)
 
-    stop = np.zeros(n, bool)
-    if n:
-        pair = mix(w.hash[:-1] * np.uint64(Q) + w.hash[1:])
-        stop[1:] = pair % np.uint64(CHUNK_EVERY) == 0
-        stop[:-1] |= w.row[1:] != w.row[:-1]
-        stop[-1] = True
-    last = np.flatnonzero(stop) + 1
-    first = np.concatenate([[0], last[:-1]]).astype(np.int64) if n else last
-    keep = last - first >= CHUNK_WORDS
-    first, last = first[keep], last[keep]
-    row = w.row[first]
-    nth = np.arange(len(row)) - np.searchsorted(row, row)
-    chunk = {"row": row, "nth": nth, "start": w.start[first] - offsets[row], "end": w.end[last - 1] - offsets[row], "first": first - w.first[row], "words": last - first, "hash": spans(prefix, first, last, Q).view(np.int64)}
-    return para, chunk
-
-
-UNIT = "doc long, doc_id long, kind int, nth int, start int, end int, first int, words int, h long, bands array<long>"
+    h, ok = _runs(w, prefix)
+    return para, _places(w, offsets, _seeds(h, ok, w.row), prefix)
+
+
+def _runs(w: Words, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the ``PASSAGE_WORDS`` words from each word on, and whether they lie in one row."""
+    n = max(0, len(w.hash) - PASSAGE_WORDS + 1)
+    at = np.arange(n)
+    return spans(prefix, at, at + PASSAGE_WORDS, Q), w.row[:n] == w.row[len(w.hash) - n :]
+
+
+def _slide(x: np.ndarray, best) -> np.ndarray:
+    """``best`` (minimum or maximum) of each ``WINDOW`` successive values."""
+    size = 1
+    while 2 * size <= WINDOW:
+        x, size = best(x[:-size], x[size:]), 2 * size
+    return best(x[: len(x) - (WINDOW - size)], x[WINDOW - size :])
+
+
+def _seeds(h: np.ndarray, ok: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """First words of the seeds: the least runs of every window (all, if equal), and of rows shorter than one."""
+    at = np.flatnonzero(ok)
+    if not len(at):
+        return at
+    new = np.ones(len(at), bool)
+    new[1:] = row[at[1:]] != row[at[:-1]]
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, len(at)))
+    least = np.minimum.reduceat(h[at], begin)
+    short = np.repeat(size < WINDOW, size) & (h[at] == np.repeat(least, size))
+    pick = np.zeros(len(h), bool)
+    pick[at[short]] = True
+    if len(h) >= WINDOW:
+        whole = np.concatenate([[0], np.cumsum(ok)])
+        low = np.where(whole[WINDOW:] - whole[:-WINDOW] == WINDOW, _slide(h, np.minimum), np.uint64(0))
+        pad = np.zeros(WINDOW - 1, np.uint64)
+        pick |= ok & (_slide(np.concatenate([pad, low, pad]), np.maximum) == h)
+    return np.flatnonzero(pick)
+
+
+def _places(w: Words, offsets: np.ndarray, at: np.ndarray, prefix: np.ndarray) -> dict:
+    """Runs from the words ``at`` on."""
+    row, end = w.row[at], at + PASSAGE_WORDS
+    other = spans(sums(mix(w.hash ^ np.uint64(P)), P), at, end, P)
+    return {"row": row, "start": w.start[at] - offsets[row], "end": w.end[end - 1] - offsets[row], "first": at - w.first[row], "words": np.full(len(at), PASSAGE_WORDS), "hash": spans(prefix, at, end, Q).view(np.int64), "other": other.view(np.int64)}
+
+
+UNIT = "doc long, doc_id long, kind int, start int, end int, first int, words int, h long, g long, bands array<long>"
 NAMES = [x.split()[0] for x in UNIT.split(", ")]
 
 
@@ -135,7 +171,7 @@ def _key(doc_id: str = "doc_id", text: str = "text"):
 
 
 def find_units(docs: DataFrame) -> DataFrame:
-    """Paragraphs (kind 0) and chunks (kind 1) of ``docs`` (``doc_id``, ``text``); ``doc`` is a hash of both."""
+    """Paragraphs (kind 0) and seeds (kind 1) of ``docs`` (``doc_id``, ``text``); ``doc`` is a hash of both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -147,8 +183,8 @@ def find_units(docs: DataFrame) -> DataFrame:
                     at = pa.array(u["row"] + lo)
                     zero = np.zeros(n, np.int32)
                     bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(u["bands"].ravel())) if kind == 0 else pa.nulls(n, pa.list_(pa.int64()))
-                    ints = [pa.array(np.asarray(x, np.int32)) for x in (np.full(n, kind), u.get("nth", zero), u["start"], u["end"], u.get("first", zero), u["words"])]
-                    yield pa.RecordBatch.from_arrays([doc.take(at), ids.take(at), *ints, pa.array(u["hash"]), bands], NAMES)
+                    ints = [pa.array(np.asarray(x, np.int32)) for x in (np.full(n, kind), u["start"], u["end"], u.get("first", zero), u["words"])]
+                    yield pa.RecordBatch.from_arrays([doc.take(at), ids.take(at), *ints, pa.array(u["hash"]), pa.array(u["other"]) if kind else pa.nulls(n, pa.int64()), bands], NAMES)
 
     return docs.select(_key().alias("doc"), F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), UNIT)
 
@@ -230,6 +266,65 @@ def paragraph_links(docs: DataFrame, classes: DataFrame, jaccard: float = JACCAR
     return links.unionByName(verified(rest, sets, jaccard))
 
 
+RUN = "doc long, doc_id long, first int, start int, end int, h long, g long"
+
+
+def runs_near(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The runs that begin at words ``lo`` to ``hi`` of ``wanted`` (``doc``, ``lo``, ``hi``), read from their texts again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                raw = b.column(2)[i].as_py().encode()
+                offs = np.array([0, len(raw)])
+                w = _read(np.frombuffer(raw, np.uint8), offs)
+                n = len(w.hash) - PASSAGE_WORDS + 1
+                lo, hi = (np.clip(b.column(3)[i].values.field(k).to_numpy(), -1, n) for k in (0, 1))
+                step = np.zeros(n + 2, np.int64)
+                np.add.at(step, np.maximum(lo, 0), 1)
+                np.add.at(step, np.minimum(hi, n - 1) + 1, -1)
+                u = _places(w, offs, np.flatnonzero(np.cumsum(step)[:n] > 0), sums(w.hash, Q))
+                same = pa.array(np.zeros(len(u["row"]), np.int32))
+                ints = [pa.array(np.asarray(u[k], np.int32)) for k in ("first", "start", "end")]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1).take(same), b.column(1).slice(i, 1).take(same), *ints, pa.array(u["hash"]), pa.array(u["other"])], [x.split()[0] for x in RUN.split(", ")])
+
+    places = wanted.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("places"))
+    rows = docs.where("text IS NOT NULL").select(_key().alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    maybe, _ = split_by_keys(rows, wanted, "doc")
+    once = maybe.join(places, "doc").dropDuplicates(["doc"])
+    return once.select("doc", "doc_id", "text", "places").mapInArrow(tidy(run), RUN)
+
+
+def repeated_runs(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Runs of words that an earlier document has: ``kept_doc`` and its ``kept_doc_id``, ``away`` (distance of the places), ``run`` (of overlapping ones)."""
+    names = [x.split()[0] for x in RUN.split(", ")]
+    seen = seeds.groupBy("h", "g").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h", "g")
+    seen = cut(seen, "seen")
+    maybe, _ = split_by_keys(seeds.select(*names), seen, "h")
+    shared = cut(maybe.join(seen, ["h", "g"]).dropDuplicates(["doc", "first"]).select(*names), "shared")
+
+    # sides of a seed where its places don't all have the same seed next to it, overlapping or touching
+    by = Window.partitionBy("doc").orderBy("first")
+    sides = shared
+    for side, at in (("left", F.lag), ("right", F.lead)):
+        away = F.abs(at("first").over(by) - F.col("first"))
+        near = F.struct(away.alias("a"), at("h").over(by).alias("h"), at("g").over(by).alias("g"))
+        sides = sides.withColumn(side, F.when(away <= WINDOW, near).otherwise(F.struct(F.lit(0).alias("a"), F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("g"))))
+    ends = sides.groupBy("h", "g").agg(*(F.expr(f"min({s}) <> max({s}) OR min({s}).a = 0").alias(f"open_{s}") for s in ("left", "right"))).where("open_left OR open_right")
+    open_ = shared.join(ends, ["h", "g"])
+    before = open_.where("open_left").select("doc", (F.col("first") - WINDOW).alias("lo"), (F.col("first") - 1).alias("hi"))
+    after = open_.where("open_right").select("doc", (F.col("first") + 1).alias("lo"), (F.col("first") + WINDOW).alias("hi"))
+    around = runs_near(docs, cut(before.unionByName(after), "around"))
+
+    same = Window.partitionBy("h", "g").orderBy("doc_id", "doc", "first")
+    kept = F.first(F.struct("doc", "doc_id", "first")).over(same)
+    hits = shared.unionByName(around).withColumn("kept", kept).where("doc <> kept.doc")
+    hits = hits.select(*names, F.col("kept.doc").alias("kept_doc"), F.col("kept.doc_id").alias("kept_doc_id"), (F.col("first") - F.col("kept.first")).alias("away"))
+    by = Window.partitionBy("doc", "kept_doc", "away").orderBy("first")
+    gap = F.when(F.col("first") - F.lag("first").over(by) <= PASSAGE_WORDS, 0).otherwise(1)
+    return hits.withColumn("new", gap).withColumn("run", F.sum("new").over(by))
+
+
 def repeats(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     """What is to be removed: a row per paragraph or passage that another document has before.
 
@@ -249,15 +344,9 @@ def repeats(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     maybe, _ = split_by_keys(lines.drop("bands"), known, "h")
     paragraphs = maybe.join(known, "h").where("doc <> kept_doc").select("doc", "doc_id", F.lit("paragraph").alias("kind"), "start", "end", F.col("words").alias("n_words"), F.col("root").alias("cluster_id"), "kept_doc_id")
 
-    chunks = found.where("kind = 1").select("doc", "doc_id", "nth", "start", "end", "first", "words", "h")
-    seen = chunks.groupBy("h").agg(F.min(F.struct("doc_id", "doc")).alias("o"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
-    seen = cut(seen.select("h", F.col("o.doc").alias("kept_doc"), F.col("o.doc_id").alias("kept_doc_id")), "seen")
-    maybe, _ = split_by_keys(chunks, seen, "h")
-    again = maybe.join(seen, "h").where("doc <> kept_doc").dropDuplicates(["doc", "doc_id", "nth"])
-    by = Window.partitionBy("doc").orderBy("nth")  # a document's own chunks
-    again = again.withColumn("new", F.when(F.col("nth") - F.lag("nth").over(by) == 1, 0).otherwise(1)).withColumn("run", F.sum("new").over(by))
-    runs = again.groupBy("doc", "run").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), (F.max(F.col("first") + F.col("words")) - F.min("first")).alias("n_words"), F.min("kept_doc_id").alias("kept_doc_id"), F.min("h").alias("cluster_id"))
-    passages = runs.where(F.col("n_words") >= PASSAGE_WORDS).select("doc", "doc_id", F.lit("passage").alias("kind"), "start", "end", F.col("n_words").cast("int"), "cluster_id", "kept_doc_id")
+    again = repeated_runs(docs, found.where("kind = 1"))
+    runs = again.groupBy("doc", "kept_doc", "away", "run").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), (F.max("first") + PASSAGE_WORDS - F.min("first")).alias("n_words"), F.first("kept_doc_id").alias("kept_doc_id"), F.min("h").alias("cluster_id"))
+    passages = runs.select("doc", "doc_id", F.lit("passage").alias("kind"), "start", "end", F.col("n_words").cast("int").alias("n_words"), "cluster_id", "kept_doc_id")
     return paragraphs.unionByName(passages)
 
 

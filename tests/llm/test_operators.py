@@ -515,3 +515,32 @@ def test_band_members_that_differ_from_both_ends_are_linked(spark):
     first = F.struct("doc_id", "doc", F.lit(0).alias("start"), "end").alias("first")
     classes = classes.select(F.element_at(F.array(*map(F.lit, names)), F.col("doc_id").cast("int") + 1).cast("long").alias("h"), first, F.array(F.lit(7).cast("long")).alias("bands"))
     assert {tuple(r) for r in paragraphs.paragraph_links(d, classes).collect()} == {(1, 2), (2, 3)}
+
+
+def passages(rng):
+    """Documents of one line each, and where (doc, first word, words, earlier docs that hold it) passages of others stand."""
+    body = [[f"d{k}x{i}" for i in range(300)] for k in range(60)]
+    planted = []
+    for k in range(0, 40, 2):
+        at, size, to = int(rng.integers(0, 200)), int(rng.integers(50, 62)), int(rng.integers(0, 240))
+        body[k + 1][to : to + size] = body[k][at : at + size]
+        planted.append((k + 1, to, size))
+    # the middle of what document 41 repeats from 40 stands in 39 too, so runs have different earlier documents
+    body[39] += body[40][100:130]
+    body[41][60:130] = body[40][80:150]
+    planted.append((41, 60, 70))
+    # phrases of five words, each from another document
+    body[50] = [w for k in range(42, 50) for w in body[k][10:15]] + body[50]
+    return body, planted
+
+
+def test_passages_go_to_their_last_word(spark):
+    body, planted = passages(np.random.default_rng(30))
+    out = paragraphs.repeats(docs(spark, [" ".join(b) for b in body])).where("kind = 'passage'").collect()
+    gone = {}
+    for r in out:
+        raw = " ".join(body[r["doc_id"]]).encode()
+        gone.setdefault(r["doc_id"], set()).update(range(raw[: r["start"]].count(b" "), raw[: r["end"]].count(b" ") + 1))
+    want = {k: set(range(at, at + n)) for k, at, n in planted}
+    gone.pop(40, None)  # 30 words that 39 has too: shorter than what surely holds a seed
+    assert gone == want
