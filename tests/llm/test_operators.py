@@ -544,3 +544,13 @@ def test_passages_go_to_their_last_word(spark):
     want = {k: set(range(at, at + n)) for k, at, n in planted}
     gone.pop(40, None)  # 30 words that 39 has too: shorter than what surely holds a seed
     assert gone == want
+
+
+def test_each_passage_stands_in_the_document_named(spark):
+    body, _ = passages(np.random.default_rng(31))
+    texts = [" ".join(b) for b in body]
+    out = paragraphs.repeats(docs(spark, texts)).where("kind = 'passage'").collect()
+    assert out and not any(r["doc_id"] == 50 for r in out)
+    for r in out:
+        span = texts[r["doc_id"]].encode()[r["start"] : r["end"]].decode()
+        assert r["kept_doc_id"] < r["doc_id"] and f" {span} " in f" {texts[r['kept_doc_id']]} " and r["n_words"] == len(span.split())
