@@ -15,13 +15,14 @@ what stays dense after ``LEVELS`` of that is compared whole, in pairs of blocks.
 So there is no cap on candidates.
 
 Verification is exact Hamming distance of whole fingerprints, all pairs of a
-bucket compared inside its task; of the links found, a bucket emits a spanning
-forest, so a group of m copies costs m links, not m squared, and stays connected.
-Groups are the connected components.
+bucket compared inside its task. Every link found is kept, once however many tries
+find it, so a group of m different texts has up to m squared of them; ``keep_one``,
+which only needs groups, keeps a spanning forest of each bucket. Groups are the
+connected components.
 
 Result, a row per document: ``class_id`` (least doc_id of the equal texts),
 ``n_copies`` (documents of the class), ``group_id`` (least doc_id of the group),
-``n_links`` (kept links of its node to nodes of other fingerprints).
+``n_links`` (links found from its text to different texts).
 
 Null texts are in no group and have class and group of their own doc_id; texts
 without words only group with equal texts. A null doc_id keeps null ids if alone.
@@ -146,8 +147,8 @@ def _spread(rows: DataFrame, depth: int, tries: int, level: int) -> DataFrame:
     return rows.mapInArrow(tidy(run), BUCKETS)
 
 
-def links_of(bucket: np.ndarray, node: np.ndarray, f: np.ndarray, limit: int = LIMIT, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within each bucket; rows come bucket by bucket.
+def close_pairs(bucket: np.ndarray, node: np.ndarray, f: np.ndarray, limit: int = LIMIT, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """The links within each bucket, rows of which come bucket by bucket: nodes in another order, places of some, and how far after them the others are.
 
     All rows are compared with the ``s``-th row after them at once, for every s:
     rows of larger buckets come first, so those with an ``s``-th row are a slice.
@@ -163,9 +164,6 @@ def links_of(bucket: np.ndarray, node: np.ndarray, f: np.ndarray, limit: int = L
     at = np.arange(len(bucket)) + np.repeat(start - (done - size), size)
     group, node, f = np.repeat(np.arange(len(size)), size), node[at], [np.ascontiguousarray(f[at, k]) for k in range(4)]
     side = None if side is None else side[at]
-    label = np.arange(len(node))
-    left: list[int] = []
-    right: list[int] = []
     for s in range(1, int(size[0]) if len(size) else 0):
         p = int(done[np.searchsorted(-size, -s, "left") - 1])  # rows of buckets larger than s
         d = np.bitwise_count(f[0][: p - s] ^ f[0][s:p]).astype(np.int16)
@@ -174,6 +172,15 @@ def links_of(bucket: np.ndarray, node: np.ndarray, f: np.ndarray, limit: int = L
         a = np.flatnonzero((d <= limit) & (group[: p - s] == group[s:p]))
         if side is not None:
             a = a[side[a] != side[a + s]]
+        yield node, a, s
+
+
+def links_of(bucket: np.ndarray, node: np.ndarray, f: np.ndarray, limit: int = LIMIT, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links within each bucket; rows come bucket by bucket."""
+    label = np.arange(len(node))
+    left: list[int] = []
+    right: list[int] = []
+    for node, a, s in close_pairs(bucket, node, f, limit, side):
         a = a[label[a] != label[a + s]]
         if len(a):
             for i in a.tolist():
@@ -191,14 +198,16 @@ def links_of(bucket: np.ndarray, node: np.ndarray, f: np.ndarray, limit: int = L
     return node[np.array(left, np.int64)], node[np.array(right, np.int64)]
 
 
-def _compare(rows: DataFrame, limit: int, sided: bool = False) -> DataFrame:
-    """Links ``u``, ``v`` of a table with BUCKETS' columns (and ``side``), a task's buckets at a time."""
+def _compare(rows: DataFrame, limit: int, sided: bool = False, whole: bool = False) -> DataFrame:
+    """Links (``whole``: all, else spanning forests) ``u``, ``v`` of a table with BUCKETS' columns (and ``side``), a task's buckets at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def work(t: pa.Table) -> pa.RecordBatch:
+        def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
             c = [t.column(i).to_numpy() for i in range(len(t.column_names))]
-            u, v = links_of(c[0], c[1], np.stack(c[2:6], 1).view(np.uint64), limit, c[6] if sided else None)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            given = c[0], c[1], np.stack(c[2:6], 1).view(np.uint64), limit, c[6] if sided else None
+            found = ((node[a], node[a + s]) for node, a, s in close_pairs(*given) if len(a)) if whole else [links_of(*given)]
+            for u, v in found:
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
         held: list[pa.RecordBatch] = []
         n = 0
@@ -212,16 +221,16 @@ def _compare(rows: DataFrame, limit: int, sided: bool = False) -> DataFrame:
                 k = t.column(0).to_numpy()
                 cut_at = int(np.searchsorted(k, k[-1]))  # the last bucket may go on
                 if cut_at:
-                    yield work(t.slice(0, cut_at).combine_chunks())
+                    yield from work(t.slice(0, cut_at).combine_chunks())
                     held, n = t.slice(cut_at).to_batches(), len(k) - cut_at
         if n:
-            yield work(pa.Table.from_batches(held))
+            yield from work(pa.Table.from_batches(held))
 
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), "u long, v long")
 
 
-def forest_links(nodes: DataFrame, limit: int = LIMIT, dense: int = DENSE, levels: int = LEVELS) -> DataFrame:
-    """Links between nodes (``node``, ``f0`` to ``f3``), found by the forest and verified."""
+def forest_links(nodes: DataFrame, limit: int = LIMIT, dense: int = DENSE, levels: int = LEVELS, whole: bool = False) -> DataFrame:
+    """Links between nodes (``node``, ``f0`` to ``f3``), found by the forest and verified; ``whole``: all of them, else spanning forests of buckets."""
     n = nodes.count()
     cur = _spread(nodes.select(F.lit(0).cast("long").alias("bucket"), "node", "f0", "f1", "f2", "f3"), *shape(n), 0)
     found = None
@@ -229,7 +238,7 @@ def forest_links(nodes: DataFrame, limit: int = LIMIT, dense: int = DENSE, level
         sizes = cut(cur.groupBy("bucket").count().where(F.col("count") > dense), "dense")
         most = sizes.agg(F.max("count")).first()[0]
         ready = cur if most is None else cur.join(sizes, "bucket", "left_anti")
-        links = _compare(ready, limit)
+        links = _compare(ready, limit, whole=whole)
         found = links if found is None else found.unionByName(links)
         if most is None:
             return found
@@ -243,20 +252,21 @@ def forest_links(nodes: DataFrame, limit: int = LIMIT, dense: int = DENSE, level
     pairs = pairs.select(
         F.xxhash64("bucket", F.least("b", "o"), F.greatest("b", "o")).alias("bucket"), "node", "f0", "f1", "f2", "f3", F.when(F.col("b") == F.col("o"), F.col("node")).otherwise(F.when(F.col("b") < F.col("o"), F.lit(-1)).otherwise(F.lit(-2))).cast("long").alias("side")
     )
-    return found.unionByName(_compare(pairs, limit, True))
+    return found.unionByName(_compare(pairs, limit, True, whole))
 
 
-def near_duplicates(docs: DataFrame, limit: int = LIMIT, dense: int = DENSE, levels: int = LEVELS) -> DataFrame:
-    """Class, group and links of every document (see the module's text)."""
+def near_duplicates(docs: DataFrame, limit: int = LIMIT, dense: int = DENSE, levels: int = LEVELS, whole: bool = True) -> DataFrame:
+    """Class, group and links of every document (see the module's text). Without ``whole`` links are only found as groups need them, and ``n_links`` counts those."""
     prints = cut(fingerprint(docs), "prints")
     some = prints.where("t1 IS NOT NULL")
     classes = cut(some.groupBy("t1", "t2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_copies"), *(F.first(c).alias(c) for c in ("words", "f0", "f1", "f2", "f3"))), "classes")
     worded = classes.where("words > 0 AND class_id IS NOT NULL")
-    nodes = cut(worded.groupBy("f0", "f1", "f2", "f3").agg(F.min("class_id").alias("node")), "nodes")
-    links = cut(forest_links(nodes, limit, dense, levels).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
+    nodes = cut(worded.groupBy("f0", "f1", "f2", "f3").agg(F.min("class_id").alias("node"), F.count("*").alias("texts")), "nodes")
+    links = cut(forest_links(nodes, limit, dense, levels, whole).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
     groups = components(links)
-    degree = links.select("u").unionAll(links.select("v")).groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n_links"))
-    known = nodes.join(groups, "node", "left").join(degree, "node", "left")
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    degree = both.join(nodes.select(F.col("node").alias("v"), "texts"), "v").groupBy(F.col("u").alias("node")).agg(F.sum("texts").alias("others"))
+    known = nodes.join(groups, "node", "left").join(degree, "node", "left").withColumn("n_links", F.coalesce("others", F.lit(0)) + F.col("texts") - 1)
     of = classes.join(known, ["f0", "f1", "f2", "f3"], "left").select(
         "t1",
         "t2",
@@ -271,7 +281,7 @@ def near_duplicates(docs: DataFrame, limit: int = LIMIT, dense: int = DENSE, lev
 
 def keep_one(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``docs`` with the document of the least doc_id of each group."""
-    found = near_duplicates(docs, limit)
+    found = near_duplicates(docs, limit, whole=False)
     return drop_keys(docs, cut(found.where("doc_id <> group_id").select("doc_id"), "copies"))
 
 

@@ -554,3 +554,16 @@ def test_each_passage_stands_in_the_document_named(spark):
     for r in out:
         span = texts[r["doc_id"]].encode()[r["start"] : r["end"]].decode()
         assert r["kept_doc_id"] < r["doc_id"] and f" {span} " in f" {texts[r['kept_doc_id']]} " and r["n_words"] == len(span.split())
+
+
+def test_every_link_counts(spark):
+    rng = np.random.default_rng(40)
+    base = prose(rng, 400, 20000).split()
+    texts = [" ".join(base), " ".join(base[::-1])]  # equal fingerprints, different texts
+    for k in range(10):
+        w = list(base)
+        w[k] = f"new{k}"
+        texts.append(" ".join(w))
+    for dense in (4096, 4):
+        out = simhash.near_duplicates(docs(spark, texts + [texts[3], prose(rng, 400, 20000, "q")]), dense=dense, levels=0).toPandas().sort_values("doc_id")
+        assert out["n_links"].tolist() == [11] * 13 + [0]
