@@ -12,7 +12,8 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +33,14 @@ def work_dir(spark: SparkSession) -> str:
     """The shared folder for tables that cut lineage.
 
     It is the session's ``spark.checkpoint.dir``. Where that is unset, as in
-    local tests, a temporary folder is made and set on the context.
+    local tests, a temporary folder is made and set on the context; a cluster,
+    whose machines don't share such a folder, must name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="ripplespark-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(f"file://{made}")
@@ -59,8 +63,45 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a cut lineage."""
     spark = df.sparkSession
     path = new_path(spark, what)
+    if _listening:
+        _listening[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+_listening: list[list[str]] = []
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete tables that :func:`cut` gave, once nothing reads them any more."""
+    for t in tables:
+        path = getattr(t, "cut_path", None)
+        if path:
+            remove_path(t.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables cut inside are deleted at the end, where what they led to is written by then."""
+    _listening.append([])
+    try:
+        yield
+    finally:
+        for path in _listening.pop():
+            remove_path(spark, path)
+
+
+def unused(names: Sequence[str], *wanted: str) -> list[str]:
+    """The ``wanted`` column names, each made longer until it differs from all of ``names`` in whatever case."""
+    have, out = {n.lower() for n in names}, []
+    for w in wanted:
+        while w.lower() in have:
+            w += "_"
+        have.add(w.lower())
+        out.append(w)
+    return out
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -105,9 +146,10 @@ def split_by_keys(docs: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame
     most, however many keys there are, so it is safe to broadcast.
     """
     at = F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS)).cast("int")
-    words = keys.select(at.alias("a")).groupBy(F.shiftright("a", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, a & 63)")).alias("_bits"))
-    marked = docs.withColumn("_slot", at).join(F.broadcast(cut(words, "filter")), F.shiftright("_slot", 6) == F.col("_word"), "left")
-    hit = F.coalesce(F.expr("shiftright(_bits, _slot & 63) & 1L") == 1, F.lit(False))
+    slot, word, bits = unused(docs.columns, "_slot", "_word", "_bits")
+    words = keys.select(at.alias("a")).groupBy(F.shiftright("a", 6).alias(word)).agg(F.bit_or(F.expr("shiftleft(1L, a & 63)")).alias(bits))
+    marked = docs.withColumn(slot, at).join(F.broadcast(cut(words, "filter")), F.shiftright(slot, 6) == F.col(word), "left")
+    hit = F.coalesce(F.expr(f"shiftright({bits}, {slot} & 63) & 1L") == 1, F.lit(False))
     return marked.where(hit).select(*docs.columns), marked.where(~hit).select(*docs.columns)
 
 
@@ -122,8 +164,8 @@ def pick(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*columns)
 
 
-def edit_text(rows: DataFrame, names: Sequence[str], edit, rows_at_once: int = 128) -> DataFrame:
-    """The columns ``names`` of ``rows`` with ``text`` as ``edit(text, mark)`` makes it, where the column ``_mark`` isn't null.
+def edit_text(rows: DataFrame, names: Sequence[str], mark: str, edit, rows_at_once: int = 128) -> DataFrame:
+    """The columns ``names`` of ``rows`` with ``text`` as ``edit(text, mark)`` makes it, where the column ``mark`` isn't null.
 
     A few rows are edited at a time, so a worker holds little beside the batch that it reads.
     """
@@ -140,7 +182,7 @@ def edit_text(rows: DataFrame, names: Sequence[str], edit, rows_at_once: int = 1
                 columns[at] = pa.array(out, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, list(names))
 
-    return rows.select(*names, "_mark").mapInArrow(tidy(run), shape)
+    return rows.select(*names, mark).mapInArrow(tidy(run), shape)
 
 
 def tidy(run):

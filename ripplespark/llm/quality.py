@@ -15,7 +15,7 @@ frequent ones is salted by document, so a hot line does too.
 Null and empty texts have no words (``base_failed``, not kept). A null source is
 a host like any other. Repeated rows, and rows sharing a ``doc_id``, are each
 judged and returned. An empty table gives no rows. Other columns are ignored by
-``judge`` and kept by ``clean``.
+``judge`` and kept by ``clean``, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, drop_keys, edit_text, read_table, split_by_keys, text_buffer, tidy
+from .common import blocks, cut, drop_keys, edit_text, read_table, split_by_keys, text_buffer, tidy, unused
 from .words import LOWER, P, Q, SPACE, Words, mix, shingles, spans, sums
 
 SYMBOLS = np.zeros(256, bool)
@@ -212,23 +212,24 @@ def clean_rows(docs: DataFrame, frequent: np.ndarray, least_left: float = LEAST_
                 columns[at] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(*names, host.alias("_host")).mapInArrow(tidy(run), docs.schema)
+    return docs.select(*names, host.alias(unused(names, "_host")[0])).mapInArrow(tidy(run), docs.schema)
 
 
 def without_lines(docs: DataFrame, removed: DataFrame, key: str) -> DataFrame:
     """``docs`` with its removed lines (``key``, ``line``) cut out of ``text``."""
     maybe, clear = split_by_keys(docs, removed, key)
     names = docs.columns
-    marks = removed.groupBy(key).agg(F.collect_set("line").alias("_mark"))  # a document's own lines
+    mark = unused(names, "_mark")[0]
+    marks = removed.groupBy(key).agg(F.collect_set("line").alias(mark))  # a document's own lines
 
-    def strip(text: str, mark: list[int]) -> str:
+    def strip(text: str, lines_gone: list[int]) -> str:
         raw = text.encode()
         buf, offs = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
         w = Words(buf, offs)
         lines = Lines(w, buf, offs)
-        return _strip(raw, lines.start[np.isin(folded(w, buf, lines).view(np.int64), np.asarray(mark, np.int64))]).decode()
+        return _strip(raw, lines.start[np.isin(folded(w, buf, lines).view(np.int64), np.asarray(lines_gone, np.int64))]).decode()
 
-    return clear.unionByName(edit_text(maybe.join(marks, key, "left"), names, strip))
+    return clear.unionByName(edit_text(maybe.join(marks, key, "left"), names, mark, strip))
 
 
 def clean(docs: DataFrame, most_frequent: int = MOST_FREQUENT) -> DataFrame:
@@ -248,10 +249,10 @@ def clean(docs: DataFrame, most_frequent: int = MOST_FREQUENT) -> DataFrame:
         out = clean_rows(docs, key)
     else:
         verdicts, removed = verdict(measured, frequent, "row_key")
-        row_key = F.xxhash64(F.lit(31), F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
-        keyed = docs.withColumn("row_key", row_key)
-        rejected = cut(verdicts.where("NOT kept").select("row_key"), "verdicts")
-        out = without_lines(drop_keys(keyed, rejected, "row_key"), removed, "row_key").select(*docs.columns)
+        key = unused(docs.columns, "row_key")[0]
+        keyed = docs.withColumn(key, F.xxhash64(F.lit(31), F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")))
+        rejected = cut(verdicts.where("NOT kept").select(F.col("row_key").alias(key)), "verdicts")
+        out = without_lines(drop_keys(keyed, rejected, key), removed.withColumnRenamed("row_key", key), key).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
