@@ -136,7 +136,12 @@ def _slide(x: np.ndarray, best) -> np.ndarray:
 
 
 def _seeds(h: np.ndarray, ok: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """First words of the seeds: the least runs of every window (all, if equal), and of rows shorter than one."""
+    """First words of the seeds: the least runs of every window (all, if equal), and of rows shorter than one.
+
+    Of a stretch of equal runs (one word, repeated) the first, the last and every
+    ``PASSAGE_WORDS``-th are enough: they touch, and a repeat that ends in a stretch holds
+    the stretch's other end.
+    """
     at = np.flatnonzero(ok)
     if not len(at):
         return at
@@ -153,7 +158,11 @@ def _seeds(h: np.ndarray, ok: np.ndarray, row: np.ndarray) -> np.ndarray:
         low = np.where(whole[WINDOW:] - whole[:-WINDOW] == WINDOW, _slide(h, np.minimum), np.uint64(0))
         pad = np.zeros(WINDOW - 1, np.uint64)
         pick |= ok & (_slide(np.concatenate([pad, low, pad]), np.maximum) == h)
-    return np.flatnonzero(pick)
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | ~ok[1:] | ~ok[:-1] | (row[1 : len(h)] != row[: len(h) - 1])
+    begin = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+    last = np.append(first[1:], True)
+    return np.flatnonzero(pick & (last | ((np.arange(len(h)) - begin) % PASSAGE_WORDS == 0)))
 
 
 def _places(w: Words, offsets: np.ndarray, at: np.ndarray, prefix: np.ndarray) -> dict:
@@ -399,7 +408,7 @@ def grown(docs: DataFrame, hits: DataFrame, runs: DataFrame) -> DataFrame:
     """Spans (SPAN) around the end seeds of ``runs``, out to the last word that an earlier document shares."""
     whole = Window.partitionBy("doc")
     left = F.max("hi").over(whole.orderBy("lo").rangeBetween(Window.unboundedPreceding, -1)) >= F.col("lo")
-    right = F.min("lo").over(whole.orderBy("hi").rangeBetween(1, Window.unboundedFollowing)) <= F.col("hi")
+    right = F.min("lo").over(whole.orderBy(F.desc("hi")).rangeBetween(Window.unboundedPreceding, -1)) <= F.col("hi")
     bare = runs.withColumn("l", F.coalesce(left, F.lit(False))).withColumn("r", F.coalesce(right, F.lit(False)))
     heads = bare.where("NOT l").select("doc", F.col("lo").alias("first"), F.lit(0).alias("side"), "head.*")
     tails = bare.where("NOT r").select("doc", (F.col("hi") - PASSAGE_WORDS).alias("first"), F.lit(1).alias("side"), "tail.*")
