@@ -15,19 +15,21 @@ what stays dense after ``LEVELS`` of that is compared whole, in pairs of blocks.
 So there is no cap on candidates.
 
 Verification is exact Hamming distance of whole fingerprints, all pairs of a
-bucket compared inside its task. Every link found is kept, once however many tries
-find it, so a group of m different texts has up to m squared of them; ``keep_one``,
-which only needs groups, keeps a spanning forest of each bucket. Groups are the
-connected components.
-
-Result, a row per document: ``class_id`` (least doc_id of the equal texts),
-``n_copies`` (documents of the class), ``group_id`` (least doc_id of the group),
-``n_links`` (links found from its text to different texts).
-
-Null texts are in no group and have class and group of their own doc_id; texts
-without words only group with equal texts. A null doc_id keeps null ids if alone.
-An empty table gives no rows. Other columns are ignored by ``near_duplicates``
-and kept by ``keep_one``.
+bucket compared inside its task, which emits a spanning forest of its links, never
+all of them. Groups are the connected components. Every link lies inside a group, so
+links are then counted there: each document's distance to all of its group, a group
+(or a pair of blocks of a large one) inside one task, which emits one count a row.
+
+Result, a row per document: ``class_id`` (least doc_id of the near-duplicates that
+it is grouped with), ``n_links`` (different texts of the group within the limit of
+its own), ``text_id`` (least doc_id of the equal texts) and ``n_copies`` (documents
+with that text).
+
+Null texts are alone: their own doc_id is class and text. Texts without words only
+group with equal texts. A null doc_id takes part like any other; a group that only
+null ids hold has a null class. Repeated rows each get a row. An empty table gives no
+rows. Other columns are ignored by ``near_duplicates`` and kept by
+``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,18 +39,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, drop_keys, read_table, text_buffer, tidy
+from .common import blocks, cut, read_table, split_by_keys, text_buffer, tidy, unused
 from .graph import components
 from .words import LOWER, SPACE, Words, mix
 
 BITS = 256
-REACH = 0.15
-RECALL = 0.99
 #: Most differing bits of a link: a fifth.
 LIMIT = 51
+#: The share of differing bits at which recall is promised: the limit itself.
+REACH = LIMIT / BITS
+RECALL = 0.95
+#: The recall of a forest inside a dense bucket, of which a pair may pass ``LEVELS``: 0.91 in all.
+INNER_RECALL = 0.98
 BUCKET = 128
 MOST_TRIES = 64
 DENSE = 4096
@@ -77,6 +82,13 @@ def fingerprints(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return out.view(np.uint64), np.bincount(row, minlength=n)
 
 
+def text_hashes() -> tuple[Column, Column]:
+    """Two hashes of the column ``text``, null where it is."""
+    text = F.col("text").cast("string")
+    t1, t2 = (F.when(text.isNotNull(), F.xxhash64(F.lit(s), text, F.octet_length(text))) for s in (1, 2))
+    return t1, t2
+
+
 FP = "doc_id long, t1 long, t2 long, words long, f0 long, f1 long, f2 long, f3 long"
 
 
@@ -94,9 +106,8 @@ def fingerprint(docs: DataFrame) -> DataFrame:
                     [x.split()[0] for x in FP.split(", ")],
                 )
 
-    text = F.col("text").cast("string")
-    t1, t2 = (F.when(text.isNotNull(), F.xxhash64(F.lit(s), text, F.octet_length(text))) for s in (1, 2))
-    return docs.select(F.col("doc_id").cast("long"), t1.alias("t1"), t2.alias("t2"), text.alias("text")).mapInArrow(tidy(run), FP)
+    t1, t2 = text_hashes()
+    return docs.select(F.col("doc_id").cast("long"), t1.alias("t1"), t2.alias("t2"), F.col("text").cast("string")).mapInArrow(tidy(run), FP)
 
 
 def tries_for(depth: int, reach: float = REACH, recall: float = RECALL) -> int:
@@ -104,12 +115,12 @@ def tries_for(depth: int, reach: float = REACH, recall: float = RECALL) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - (1 - reach) ** depth))) if depth else 1
 
 
-def shape(nodes: int, bucket: int = BUCKET, most_tries: int = MOST_TRIES) -> tuple[int, int]:
+def shape(nodes: int, recall: float = RECALL, bucket: int = BUCKET, most_tries: int = MOST_TRIES) -> tuple[int, int]:
     """Prefix depth by density, climbed up until recall is within reach, and the tries for it."""
     depth = max(1, math.ceil(math.log2(max(2, nodes) / bucket)))
-    while depth > 1 and tries_for(depth) > most_tries:
+    while depth > 1 and tries_for(depth, recall=recall) > most_tries:
         depth -= 1
-    return depth, tries_for(depth)
+    return depth, tries_for(depth, recall=recall)
 
 
 def prefixes(f: np.ndarray, depth: int, tries: int, level: int) -> np.ndarray:
@@ -198,16 +209,30 @@ def links_of(bucket: np.ndarray, node: np.ndarray, f: np.ndarray, limit: int = L
     return node[np.array(left, np.int64)], node[np.array(right, np.int64)]
 
 
-def _compare(rows: DataFrame, limit: int, sided: bool = False, whole: bool = False) -> DataFrame:
-    """Links (``whole``: all, else spanning forests) ``u``, ``v`` of a table with BUCKETS' columns (and ``side``), a task's buckets at a time."""
+def counts_of(bucket: np.ndarray, node: np.ndarray, f: np.ndarray, weight: np.ndarray, limit: int = LIMIT, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The weight of all others within ``limit`` of each row in its bucket; rows come bucket by bucket."""
+    total = np.zeros(len(node), np.int64)
+    at = np.arange(len(node))
+    for place, a, s in close_pairs(bucket, at, f, limit, side):
+        if len(a):
+            x, y = place[a], place[a + s]
+            np.add.at(total, x, weight[y])
+            np.add.at(total, y, weight[x])
+    return node, total
+
+
+def _compare(rows: DataFrame, limit: int, sided: bool = False, count: bool = False) -> DataFrame:
+    """A table with BUCKETS' columns (then ``side`` if ``sided``, then ``texts`` to ``count``), a task's buckets at a time.
+
+    Spanning forests of the links ``u``, ``v``, or with ``count`` rows ``u`` (node), ``v`` (texts within the limit).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
             c = [t.column(i).to_numpy() for i in range(len(t.column_names))]
-            given = c[0], c[1], np.stack(c[2:6], 1).view(np.uint64), limit, c[6] if sided else None
-            found = ((node[a], node[a + s]) for node, a, s in close_pairs(*given) if len(a)) if whole else [links_of(*given)]
-            for u, v in found:
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            f, side = np.stack(c[2:6], 1).view(np.uint64), c[6] if sided else None
+            u, v = counts_of(c[0], c[1], f, c[-1], limit, side) if count else links_of(c[0], c[1], f, limit, side)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
         held: list[pa.RecordBatch] = []
         n = 0
@@ -229,8 +254,18 @@ def _compare(rows: DataFrame, limit: int, sided: bool = False, whole: bool = Fal
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), "u long, v long")
 
 
-def forest_links(nodes: DataFrame, limit: int = LIMIT, dense: int = DENSE, levels: int = LEVELS, whole: bool = False) -> DataFrame:
-    """Links between nodes (``node``, ``f0`` to ``f3``), found by the forest and verified; ``whole``: all of them, else spanning forests of buckets."""
+def block_pairs(crowd: DataFrame, dense: int) -> DataFrame:
+    """Rows of large buckets (BUCKETS' columns, ``count`` and more) as pairs of blocks of about ``dense / 2`` rows: each pair a bucket of its own, with ``side``."""
+    k = F.ceil(F.col("count") / (dense / 2)).cast("int")
+    block = F.pmod(F.xxhash64("node"), k).cast("int")
+    pairs = crowd.withColumn("k", k).withColumn("b", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    side = F.when(F.col("b") == F.col("o"), F.col("node")).otherwise(F.when(F.col("b") < F.col("o"), F.lit(-1)).otherwise(F.lit(-2))).cast("long")
+    more = [c for c in crowd.columns if c not in ("bucket", "node", "f0", "f1", "f2", "f3", "count")]
+    return pairs.select(F.xxhash64("bucket", F.least("b", "o"), F.greatest("b", "o")).alias("bucket"), "node", "f0", "f1", "f2", "f3", side.alias("side"), *more)
+
+
+def forest_links(nodes: DataFrame, limit: int = LIMIT, dense: int = DENSE, levels: int = LEVELS) -> DataFrame:
+    """Links between nodes (``node``, ``f0`` to ``f3``), found by the forest and verified: spanning forests of its buckets."""
     n = nodes.count()
     cur = _spread(nodes.select(F.lit(0).cast("long").alias("bucket"), "node", "f0", "f1", "f2", "f3"), *shape(n), 0)
     found = None
@@ -238,51 +273,76 @@ def forest_links(nodes: DataFrame, limit: int = LIMIT, dense: int = DENSE, level
         sizes = cut(cur.groupBy("bucket").count().where(F.col("count") > dense), "dense")
         most = sizes.agg(F.max("count")).first()[0]
         ready = cur if most is None else cur.join(sizes, "bucket", "left_anti")
-        links = _compare(ready, limit, whole=whole)
+        links = _compare(ready, limit)
         found = links if found is None else found.unionByName(links)
         if most is None:
             return found
-        crowd = cur.join(sizes, "bucket")
+        crowd = cut(cur.join(sizes, "bucket"), "crowd")
         if level < levels:
-            cur = _spread(crowd.drop("count").select("bucket", "node", "f0", "f1", "f2", "f3"), *shape(most), level + 1)
+            cur = _spread(crowd.select("bucket", "node", "f0", "f1", "f2", "f3"), *shape(most, INNER_RECALL), level + 1)
     # still dense: every pair of blocks of at most ``dense`` nodes is a bucket of its own
-    k = F.ceil(F.col("count") / (dense / 2)).cast("int")
-    block = F.pmod(F.xxhash64("node"), k).cast("int")
-    pairs = crowd.withColumn("k", k).withColumn("b", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    pairs = pairs.select(
-        F.xxhash64("bucket", F.least("b", "o"), F.greatest("b", "o")).alias("bucket"), "node", "f0", "f1", "f2", "f3", F.when(F.col("b") == F.col("o"), F.col("node")).otherwise(F.when(F.col("b") < F.col("o"), F.lit(-1)).otherwise(F.lit(-2))).cast("long").alias("side")
-    )
-    return found.unionByName(_compare(pairs, limit, True, whole))
+    return found.unionByName(_compare(block_pairs(crowd, dense), limit, True))
+
 
+def count_links(nodes: DataFrame, groups: DataFrame, limit: int = LIMIT, dense: int = DENSE) -> DataFrame:
+    """``node`` and ``others``: texts of other nodes of its group within the limit."""
+    rows = nodes.join(groups, "node").select(F.col("root").alias("bucket"), "node", "f0", "f1", "f2", "f3", "texts")
+    sizes = rows.groupBy("bucket").count()
+    rows = cut(rows.join(sizes, "bucket"), "members")
+    small = _compare(rows.where(F.col("count") <= dense).drop("count"), limit, count=True)
+    large = _compare(block_pairs(rows.where(F.col("count") > dense), dense), limit, True, True)
+    return small.unionByName(large).groupBy(F.col("u").alias("node")).agg(F.sum("v").alias("others"))
 
-def near_duplicates(docs: DataFrame, limit: int = LIMIT, dense: int = DENSE, levels: int = LEVELS, whole: bool = True) -> DataFrame:
-    """Class, group and links of every document (see the module's text). Without ``whole`` links are only found as groups need them, and ``n_links`` counts those."""
+
+def text_groups(prints: DataFrame, limit: int, dense: int, levels: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Equal texts (``t1``, ``t2``, first document, copies), nodes (equal fingerprints) and the nodes' groups (``node``, ``root``)."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
+    classes = prints.where("t1 IS NOT NULL").groupBy("t1", "t2").agg(least.alias("least"), F.count("*").alias("n_copies"), *(F.first(c).alias(c) for c in ("words", "f0", "f1", "f2", "f3")))
+    # a node's number is a hash of its fingerprint; texts without words are nodes of their own
+    number = F.when(F.col("words") > 0, F.xxhash64("f0", "f1", "f2", "f3")).otherwise(F.xxhash64(F.lit(41), "t1", "t2"))
+    classes = cut(classes.withColumn("node", number), "classes")
+    nodes = cut(classes.where("words > 0").groupBy("node", "f0", "f1", "f2", "f3").agg(F.count("*").alias("texts")), "nodes")
+    links = cut(forest_links(nodes, limit, dense, levels).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
+    return classes, nodes, cut(components(links), "groups")
+
+
+def near_duplicates(docs: DataFrame, limit: int = LIMIT, dense: int = DENSE, levels: int = LEVELS) -> DataFrame:
+    """Class, links and copies of every document (see the module's text)."""
     prints = cut(fingerprint(docs), "prints")
-    some = prints.where("t1 IS NOT NULL")
-    classes = cut(some.groupBy("t1", "t2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_copies"), *(F.first(c).alias(c) for c in ("words", "f0", "f1", "f2", "f3"))), "classes")
-    worded = classes.where("words > 0 AND class_id IS NOT NULL")
-    nodes = cut(worded.groupBy("f0", "f1", "f2", "f3").agg(F.min("class_id").alias("node"), F.count("*").alias("texts")), "nodes")
-    links = cut(forest_links(nodes, limit, dense, levels, whole).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
-    groups = components(links)
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    degree = both.join(nodes.select(F.col("node").alias("v"), "texts"), "v").groupBy(F.col("u").alias("node")).agg(F.sum("texts").alias("others"))
-    known = nodes.join(groups, "node", "left").join(degree, "node", "left").withColumn("n_links", F.coalesce("others", F.lit(0)) + F.col("texts") - 1)
-    of = classes.join(known, ["f0", "f1", "f2", "f3"], "left").select(
-        "t1",
-        "t2",
-        "class_id",
-        "n_copies",
-        F.when(F.col("words") > 0, F.coalesce("root", "node", "class_id")).otherwise(F.col("class_id")).alias("group_id"),
-        F.when(F.col("words") > 0, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"),
-    )
+    classes, nodes, groups = text_groups(prints, limit, dense, levels)
+    named = classes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    firsts = named.groupBy("root").agg(F.min("least").alias("first"))
+    links = nodes.join(count_links(nodes, groups, limit, dense), "node", "left").select("node", (F.coalesce("others", F.lit(0)) + F.col("texts") - 1).alias("n_links"))
+    of = named.join(firsts, "root").join(links, "node", "left")
+    of = of.select("t1", "t2", F.col("first.doc_id").alias("class_id"), "n_links", F.col("least.doc_id").alias("text_id"), "n_copies")
     out = prints.join(of, ["t1", "t2"], "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("group_id", "doc_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    own = [F.when(F.col("t1").isNull(), F.col("doc_id")).otherwise(F.col(c)).alias(c) for c in ("class_id", "text_id")]
+    return out.select("doc_id", own[0], F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own[1], F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
 
 
-def keep_one(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """``docs`` with the document of the least doc_id of each group."""
-    found = near_duplicates(docs, limit, whole=False)
-    return drop_keys(docs, cut(found.where("doc_id <> group_id").select("doc_id"), "copies"))
+def keep_one(docs: DataFrame, limit: int = LIMIT, dense: int = DENSE, levels: int = LEVELS) -> DataFrame:
+    """``docs`` with one row of each group: that of the least doc_id (a null id last), then the least hash of the text.
+
+    Rows that share an id are judged each by its own text; of rows equal in id and
+    text one stays. Rows of null texts all stay.
+    """
+    names = docs.columns
+    row, stays = unused(names, "_row", "_stays")
+    prints = cut(fingerprint(docs), "prints")
+    classes, _, groups = text_groups(prints, limit, dense, levels)
+    named = classes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = named.groupBy("root").agg(F.min(F.struct("least.none", "least.doc_id", "t1", "t2")).alias("kept"), F.sum("n_copies").alias("n")).where("n > 1")
+    crowd = named.join(several, "root").select("t1", "t2", F.xxhash64("kept.doc_id", "kept.t1", "kept.t2").alias("kept"))
+    key = F.xxhash64("doc_id", "t1", "t2").alias(row)
+    members = prints.join(crowd, ["t1", "t2"]).select(key, (key == F.col("kept")).alias(stays))
+    members = members.groupBy(row).agg(F.max(stays).alias(stays), F.count("*").alias("n")).where(f"NOT {stays} OR n > 1").select(row, stays)
+    members = cut(members, "copies")
+    t1, t2 = text_hashes()
+    maybe, clear = split_by_keys(docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("long"), t1, t2)), members, row)
+    judged = maybe.join(members, row, "left")
+    whole = judged.where(F.col(stays).isNull()).select(*names)
+    one = judged.where(F.col(stays)).dropDuplicates([row]).select(*names)
+    return clear.select(*names).unionByName(whole).unionByName(one)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -275,11 +275,37 @@ def test_near_duplicates(spark, dense, levels):
         texts += [near(rng, clean[k], 0.04), clean[k], clean[k].upper() + "!"]
         group += [k] * 3
     out = simhash.near_duplicates(docs(spark, texts), dense=dense, levels=levels).toPandas().sort_values("doc_id")
-    assert out["group_id"].tolist() == group
-    assert out["n_copies"].iloc[0] == 2 and out["class_id"].iloc[301] == 0
+    assert out["class_id"].tolist() == group
+    assert out["n_copies"].iloc[0] == 2 and out["text_id"].iloc[301] == 0
     assert {r["doc_id"] for r in simhash.keep_one(docs(spark, texts)).select("doc_id").collect()} == set(range(300))
 
 
+def test_survivors_of_near_duplicates(spark):
+    rng = np.random.default_rng(41)
+    a, b = prose(rng, 80, 20000), prose(rng, 80, 20000)
+    texts = [a, a, a, None, None, b, b, near(rng, a, 0.03), b]
+    ids = [5, 5, 3, None, None, None, None, 9, 5]
+    left = simhash.keep_one(docs(spark, texts, ids=ids)).collect()
+    # of a's group id 3 stays; of b's the row with an id, though another text has that id too; null texts stay
+    assert sorted(((r["doc_id"], r["text"]) for r in left), key=str) == sorted([(3, a), (None, None), (None, None), (5, b)], key=str)
+    assert simhash.keep_one(docs(spark, [a, a], ids=[1, 1])).count() == 1
+
+
+def test_recall_of_the_forest_at_the_limit(spark):
+    rng = np.random.default_rng(42)
+    rows = []
+    for k in range(400):  # pairs that differ in exactly as many bits as a link may
+        x = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+        y = np.unpackbits(x.view(np.uint8))
+        y[rng.permutation(256)[: simhash.LIMIT]] ^= 1
+        rows += [x, np.packbits(y).view(np.uint64)]
+    f = np.stack(rows)
+    nodes = spark.createDataFrame(pd.DataFrame({"node": range(len(f)), **{f"f{k}": f[:, k].view(np.int64) for k in range(4)}}))
+    for dense in (4096, 40):  # in buckets of the first forest, and of forests within them
+        links = simhash.forest_links(nodes, dense=dense)
+        assert len({(min(r), max(r)) for r in links.collect()}) >= 0.9 * 400
+
+
 def test_forest_finds_what_all_pairs_find(spark):
     rng = np.random.default_rng(11)
     f = rng.integers(0, 1 << 63, (60, 4), dtype=np.uint64)
