@@ -430,12 +430,45 @@ ARTICLE = """<article><header class="post-header"><h1>Ti&amp;tle</h1><span>by me
 <aside>side</aside><p>tail a < b &eacute;&#8364</article><section class="comments"><p>bad</p></section>"""
 
 
+def shown(page):
+    return [x for x in html.extract(page)[0] if x is not None]
+
+
 def test_main_text():
-    assert html.extract(PAGE % ARTICLE)[0] == ["Ti&tle", "One two three four", "a", "b <c>", "1 2", "3", "tail a < b é€"]
-    assert html.extract(PAGE % f"<main>{ARTICLE}</main>")[0] == html.extract(PAGE % ARTICLE)[0]
-    assert html.extract(PAGE % "<div><p>x</p><div class='ad-box'>ad</div>y</div>")[0] == ["x", "y"]
-    assert html.extract("just text")[0] == ["just text"] and html.extract(None) == ([], []) and html.extract("<p")[0] == []
-    assert html.extract("<p>" + "<b>" * 5000 + "deep")[0] == ["deep"]
+    assert shown(PAGE % ARTICLE) == ["Ti&tle", "One two three four", "a", "b <c>", "1 2", "3", "tail a < b é€"]
+    assert shown(PAGE % f"<main>{ARTICLE}</main>") == shown(PAGE % ARTICLE)
+    assert shown(PAGE % "<div><p>x</p><div class='ad-box'>ad</div>y</div>") == ["x", "y"]
+    assert shown("just text") == ["just text"] and html.extract(None) == ([], []) and shown("<p") == []
+    assert shown("<p>" + "<b>" * 5000 + "deep") == ["deep"]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><header><h1>Title</h1><h2>Subtitle heading</h2></header><p>x</p></article>", ["Title", "Subtitle heading", "x"]),
+        ("<article><header><div><h1>Title</h1><p>by me</p><h2>Sub</h2></div></header><p>x</p></article>", ["Title", "Sub", "x"]),
+        ("<article><p class='related-work'>kept</p><div class='market-share'>kept too</div></article>", ["kept", "kept too"]),
+        ("<article><p>x</p><div class='related-posts'>no</div><ul id='share_buttons'><li>no</ul><div class='commentList'>no</div></article>", ["x"]),
+        ("<body class='sidebar'><div class='content-sidebar-wrap'><main><p>x</p></main></div></body>", ["x"]),
+        ("<main><p>a <button>no</button>b</p><span class='ad'>no</span>c</main>", ["a b", "c"]),
+        ("<article><header><nav>no</nav><h1>T</h1></header></article><header><h1>Site</h1></header>", ["T"]),
+    ],
+)
+def test_rules(page, want):
+    assert shown(page) == want
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    import time
+
+    def seconds(page):
+        began = time.perf_counter()
+        html.extract(page)
+        return time.perf_counter() - began
+
+    for make in (lambda n: "<div>x" * n, lambda n: "<b>" * n + "</i>" * n, lambda n: "<div class='menu'>y" * n, lambda n: "<article>z" * n, lambda n: "<span>" * n + "<p>a" * n):
+        seconds(make(500))
+        assert seconds(make(8000)) < 12 * max(seconds(make(2000)), 0.01)
 
 
 def test_templates_go_by_frequency(spark):
@@ -443,15 +476,41 @@ def test_templates_go_by_frequency(spark):
     rows += [(100 + i, f"http://other.example/{i}", f"<p>Welcome to us</p><p>x{i}</p>") for i in range(3)]
     rows += [(200 + i, "http://copy.example/a", "<p>the same article</p>") for i in range(30)]
     rows += [(300, None, None), (301, "nonsense", "")]
-    t = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("uid", F.lit(1))
+    # inside marked content: a box that recurs is the site's, a paragraph that recurs the author's
+    rows += [(400 + i, f"http://box.example/{i}", f"<nav>Menu</nav><article><p>own {i}</p><p>as ever</p><section><p>read on</p><p>and on</p></section></article>") for i in range(30)]
+    t = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("uid", F.lit(1)).withColumn("_slot", F.lit(2)).withColumn("drop", F.lit(3))
     out = {r["page_id"]: r for r in html.main_text(t).collect()}
     assert len(out) == len(rows)
     assert all(out[i]["text"] == f"body {i} of the page" and out[i]["n_template"] == 2 for i in range(30))
     assert out[100]["text"] == "Welcome to us\nx0" and out[200]["text"] == "the same article"  # copies of a page count once
     assert out[300]["text"] == out[301]["text"] == "" and all(r["n_chars"] == len(r["text"]) for r in out.values())
+    assert all(out[400 + i]["text"] == f"own {i}\nas ever" and (out[400 + i]["n_template"], out[400 + i]["n_rule"]) == (3, 0) for i in range(30))
     assert html.main_text(t.limit(0)).count() == 0
 
 
+def test_templates_are_those_of_a_recount(spark):
+    rng = np.random.default_rng(43)
+    parts = [f"<div class=c{k}><p>part {k}</p></div>" for k in range(12)]
+    rows = []
+    for i in range(200):
+        some = [parts[k] for k in np.flatnonzero(rng.random(12) < np.linspace(0.01, 0.9, 12))]
+        rows.append((i, f"http://h{i % 2}.example/{i}", "<body>" + "".join(some) + f"<p>own {i % 150}</p></body>"))
+    t = spark.createDataFrame(rows, "page_id long, url string, html string")
+    limit = 0.3
+    pages, counts = {}, {}
+    for _, url, page in rows:  # distinct pages of each host, subtrees of each page once
+        blocks, spans = html.extract(page)
+        pages.setdefault(url.split("/")[2], {})["\n".join(blocks)] = {h for h, _, _ in spans}
+    for host, of in pages.items():
+        counts[host] = {h for h in set().union(*of.values()) if sum(h in x for x in of.values()) > max(html.LEAST_PAGES, limit * len(of))}
+    out = {r["page_id"]: r for r in html.main_text(t, least_share=limit).collect()}
+    for i, url, page in rows:
+        blocks, spans = html.extract(page)
+        gone = {k for h, lo, hi in spans if h in counts[url.split("/")[2]] for k in range(lo, hi)}
+        assert out[i]["text"] == "\n".join(b for k, b in enumerate(blocks) if k not in gone) and out[i]["n_template"] == len(gone)
+    assert any(r["n_template"] for r in out.values())
+
+
 def vectors(spark, v, ids=None):
     return spark.createDataFrame([(int(i), None if x is None else [None if c is None else float(c) for c in x]) for i, x in zip(ids if ids is not None else range(len(v)), v)], "vec_id long, embedding array<double>")
 
