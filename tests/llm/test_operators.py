@@ -394,17 +394,13 @@ def test_normal_form():
 
 def test_ppm_code_lengths():
     en, fr = ["the cat and the dog ran", "then that other thing"], ["le chat et le chien", "après été là"]
-    total = langid.count_grams(en + fr, None)[0]
-    symbol = np.zeros(256, np.uint8)
-    top = [b for b in np.argsort(-total, kind="stable")[: langid.ALPHABET] if total[b]]
-    symbol[top] = 1 + np.arange(len(top), dtype=np.uint8)
-    model = langid.Model(langid.Counts(["en", "fr"], symbol, [langid.count_grams(x, symbol)[1] for x in (en, fr)]))
-    probes = ["the thing", "le chat après", "zzz qqq", "a", "", "Là THEN été"]
+    model = langid.Model(langid.Counts(["en", "fr"], [langid.count_grams(x) for x in (en, fr)]))
+    probes = ["the thing", "le chat après", "zzz qqq", "a", "", "Là THEN été", "Ωmega 語 the"]
     got = model.lengths(*block(probes)) / langid.UNIT
     for j, train in enumerate((en, fr)):
-        known = [bytes(symbol[np.frombuffer(t, np.uint8)]) for t in normal(train)]
+        known = normal(train)
         for i, t in enumerate(normal(probes)):
-            want = ppm_length(known, bytes(symbol[np.frombuffer(t, np.uint8)]), langid.ORDER, model.size)
+            want = ppm_length(known, t, langid.ORDER, 256)
             assert got[i, j] == pytest.approx(want, abs=0.002 * max(1, len(t)))
 
 
@@ -423,6 +419,32 @@ def test_language_id(spark):
     assert langid.identify(d, None).where("lang_pred <> 'und'").count() == 0
 
 
+def test_any_number_of_languages(spark):
+    rng = np.random.default_rng(44)
+    texts, lang = [], []
+    for k in range(140):  # two labels of each kind share nothing with the others but some letters
+        words = ["".join(map(chr, rng.integers(97 + 400 * (k // 20), 97 + 400 * (k // 20) + 26, 4))) for _ in range(30)]
+        for _ in range(6):
+            texts.append(" ".join(rng.choice(words, 25)))
+            lang.append(f"l{k:03d}")
+    d = docs(spark, texts, lang=lang)
+    out = langid.identify(d, langid.learn(d)).toPandas().sort_values("doc_id")
+    assert np.mean(out["lang_pred"].to_numpy() == np.array(lang)) > 0.97
+
+
+def test_two_models_in_one_worker(spark):
+    a, b = docs(spark, ["aaa bbb"] * 3, lang=["x"] * 3), docs(spark, ["aaa bbb"] * 3, lang=["y"] * 3)
+    for _ in range(3):
+        for d, name in ((a, "x"), (b, "y")):
+            assert {r["lang_pred"] for r in langid.identify(d, langid.learn(d)).collect()} == {name}
+
+
+def test_the_sample_counts_equal_rows_once(spark):
+    d = docs(spark, ["aaa"] * 50 + ["bbb"], lang=["x"] * 51, ids=[1] * 50 + [2])
+    c = langid.read_counts(langid.learn(d, 2))
+    assert dict(zip(*(v.tolist() for v in c.grams[0][0])))[ord("a")] == 3  # once, whole
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><script>var a="</p>";</script></head><body class="no-sidebar">
 <header><h1>Site</h1></header><nav><a>Menu</a></nav><div id="cookie-notice">cookies</div>%s<footer>f</footer></body></html>"""
 ARTICLE = """<article><header class="post-header"><h1>Ti&amp;tle</h1><span>by me</span></header><p>One <b>two</b>&nbsp;three<br>four
