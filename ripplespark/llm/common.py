@@ -17,7 +17,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bits of a key filter: 2**23 bits are 2**17 words, however many keys there are.
@@ -159,9 +159,19 @@ def drop_keys(docs: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFram
     return clear.unionByName(maybe.join(keys.select(key).distinct(), key, "left_anti").select(*docs.columns))
 
 
-def pick(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Only the columns an operator uses; others, with whatever names, are ignored."""
-    return df.select(*columns)
+def numbered(table: DataFrame, order: Sequence[Column], name: str, rows: int, rows_at_once: int = 100_000) -> DataFrame:
+    """``table`` (of about ``rows`` rows) with the column ``name``, the place of each row in the whole ``order`` (from 0)."""
+    parts = max(1, -(-rows // rows_at_once))
+    placed = table.repartitionByRange(parts, *order).sortWithinPartitions(*order) if parts > 1 else table.coalesce(1).sortWithinPartitions(*order)
+    placed = cut(placed.withColumn(name, F.monotonically_increasing_id()), "placed")
+    part = F.shiftright(name, 33)
+    counts = placed.groupBy(part.alias("part")).count().collect()  # a row a part
+    before, seen = [], 0
+    for p, n in sorted((r["part"], r["count"]) for r in counts):
+        before.append(F.when(part == p, F.lit(seen)))
+        seen += n
+    inside = F.col(name) - F.shiftleft(part, 33)
+    return placed.withColumn(name, (inside + F.coalesce(*before, F.lit(0))).cast("long"))
 
 
 def edit_text(rows: DataFrame, names: Sequence[str], mark: str, edit, rows_at_once: int = 128) -> DataFrame:

@@ -221,8 +221,7 @@ def test_mixing(spark):
     d = docs(spark, texts, source=source)
     out = {}
     for part in (1, 7):
-        rows, sources, blocks = mixing.plan(d.repartition(part))
-        drawn = mixing.draw(rows, sources, blocks).toPandas()
+        drawn = mixing.draw(*mixing.plan(d.repartition(part))).toPandas()
         drawn["taken"] = drawn["size"] * drawn["shards"].map(len)
         out[part] = drawn.sort_values("doc_id")[["doc_id", "taken", "shards"]].map(lambda x: tuple(x) if isinstance(x, (list, np.ndarray)) else x).values.tolist()
     assert out[1] == out[7]  # reruns agree, however rows lie
@@ -238,6 +237,41 @@ def test_mixing(spark):
     assert mixing.mix(d).groupBy("mix_shard").count().count() == 16
 
 
+def test_mixing_of_more_sources_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 10)
+    monkeypatch.setattr(mixing, "STRATA", 8)
+    rng = np.random.default_rng(45)
+    source = [f"s{k:03d}" for k in rng.integers(0, 300, 3000)] + [None]
+    texts = [prose(rng, int(n)) for n in rng.integers(1, 60, len(source))]
+    rows, sources, blocks, taken = mixing.plan(docs(spark, texts, source=source))
+    got = {r["source"]: r["target"] for r in sources.collect()}
+    order = sorted(got, key=lambda x: (x is None, x or ""))
+    sizes = pd.Series([len(t.split()) for t in texts]).groupby([x or "￿" for x in source]).sum()
+    want = mixing.targets([int(sizes[x or "￿"]) for x in order], [(5, 2, 1)[k % 3] for k in range(len(order))])
+    assert [got[x] for x in order] == pytest.approx(want)
+    drawn = mixing.draw(rows, sources, blocks, taken).toPandas()
+    drawn["taken"] = drawn["size"] * drawn["shards"].map(len)
+    for x, g in drawn.groupby(drawn["source"].fillna("￿")):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) < 60 and g["taken"].sum() <= 2 * g["size"].sum()
+    # the tree: block draws of all shards are as equal as they can be
+    per = blocks.select(F.explode("shards").alias("x")).groupBy("x").count().toPandas()["count"]
+    assert per.max() - per.min() <= 1 and len(per) == 16
+
+
+def test_the_edge_takes_what_still_fits(spark):
+    # one source whose documents are alternately small and larger than the room that is left
+    sizes = [1, 400] * 60
+    texts = [" ".join(["w"] * (n - 1) + [f"u{i}"]) for i, n in enumerate(sizes)]
+    plan = mixing.plan(docs(spark, texts, source=["a"] * 120), share=0.01)
+    out = mixing.draw(*plan).toPandas()
+    edge = plan[1].first()
+    block = np.floor((out["h"].to_numpy().view(np.uint64) >> np.uint64(33)) * edge["blocks"] / 2**31).astype(int)
+    fit = (out["size"] == 1) & (block == edge["edge"])
+    assert (out["shards"].map(len) == fit).all()
+    inside = out[block == edge["edge"]].sort_values("h")["size"].to_numpy()
+    assert ((inside[1:] == 1) & (inside[:-1] > 1)).sum() > 10  # in many runs of hashes
+
+
 def test_quality_rules(spark):
     duckdb = pytest.importorskip("duckdb")
     rng = np.random.default_rng(9)
