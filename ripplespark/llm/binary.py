@@ -1,12 +1,13 @@
 """Token ids in a binary format of grammar-compressed shards (Re-Pair).
 
-Documents are range-partitioned and sorted by ``doc_id``; each partition writes
-one shard file. A shard's ids are compressed by Re-Pair in rounds: pairs of
-neighbouring symbols are counted over the whole shard (first within words, each
-distinct word once with its occurrences as weight, then over whole documents),
-and every pair frequent enough to pay for its rule becomes a nonterminal.
-Occurrences are replaced left to right without overlap, never across a
-document's end. A nonterminal's parts come from earlier rounds only.
+Documents are range-partitioned by ``doc_id`` into shards of about ``SHARD_BYTES``
+of text, and sorted; each partition writes one shard file. A shard's ids are
+compressed by Re-Pair: pairs of neighbouring symbols are counted exactly, and
+frequent pairs become nonterminals, the more frequent of two that overlap first,
+until no pair is left that occurs ``LEAST`` times. That is done first within words,
+each distinct word once with its occurrences as weight, then over whole documents.
+Occurrences are replaced without overlap, never across a document's end. A
+nonterminal's parts come from earlier rounds only.
 
 File: ``RPR1``, a header of six little-endian 64-bit counts (documents, ids,
 symbols, base symbols, rules, version), then document numbers, a validity byte
@@ -16,9 +17,10 @@ rules (left, right), the rules' expansion lengths, and symbols in two planes
 found and expanded without reading the rest.
 
 Null and empty texts hold the end id alone. A null ``doc_id`` is kept and sorts
-first. Rows with one ``doc_id`` all stay, ordered by text. An empty table gives
-no rows. Other columns are ignored. Files appear whole or not at all and depend
-only on the shard's rows, so a task that runs again leaves the same file.
+first. Rows with one ``doc_id`` all stay, ordered by a hash of the text, and may
+lie in more than one shard. An empty table gives no rows. Other columns are
+ignored, whatever their names. Files appear whole or not at all and depend only on
+the shard's rows, so a task that runs again leaves the same file.
 """
 
 from __future__ import annotations
@@ -37,86 +39,141 @@ from .common import blocks, fs_of, new_path, publish, read_table, text_buffer, t
 from .tokens import gather
 
 MAGIC = b"RPR1"
-#: Pairs are counted in a table of 2**HASH_BITS slots, one pair a slot and round.
-HASH_BITS = 20
 #: A rule takes 12 bytes and saves 3 bytes an occurrence.
 LEAST = 8
-
-
-def _slots(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    key = (left.astype(np.uint64) << np.uint64(32)) | right
-    return key, ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)).astype(np.int32)
-
-
-def repair(seq: np.ndarray, stop: np.ndarray, top: int, rounds: int, weights: np.ndarray | None = None, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rounds of pair replacement: the shorter sequence, its stops, and the new rules as rows (left, right).
+#: Bytes of text of a shard.
+SHARD_BYTES = 20 << 20
+
+
+def _frequent(keys: np.ndarray, least: int, weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that occur ``least`` times (in weight), sorted, and how often."""
+    if weights is None:
+        keys = np.sort(keys)
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        start = np.flatnonzero(new)
+        count = np.diff(np.append(start, len(keys)))
+        keys = keys[start]
+    else:
+        keys, inverse = np.unique(keys, return_inverse=True)
+        count = np.bincount(inverse, weights, len(keys))
+    often = count >= least
+    return keys[often], count[often]
+
+
+def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The place of each key in ``known`` (sorted), -1 for others."""
+    bits = 22
+    slot = lambda k: ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
+    maybe = np.zeros(1 << bits, bool)
+    maybe[slot(known)] = True
+    out = np.full(len(keys), -1, np.int64)
+    some = np.flatnonzero(maybe[slot(keys)])
+    at = np.minimum(np.searchsorted(known, keys[some]), len(known) - 1)
+    hit = known[at] == keys[some]
+    out[some[hit]] = at[hit]
+    return out
+
+
+def repair(seq: np.ndarray, stop: np.ndarray, top: int, weights: np.ndarray | None = None, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs replaced until none occurs ``least`` times: the shorter sequence, its stops, and the new rules as rows (left, right).
 
     ``stop``: symbols after which no pair may reach. ``top``: the first free
     symbol. ``weights``: occurrences of each symbol's place, where ``seq`` holds
-    distinct strings. Work is done in steps of ``step`` symbols; a pair that lies
-    over a step's edge is left as it is.
+    distinct strings. A round takes every frequent pair that no more frequent one
+    overlaps, so at least the most frequent of all. Only places whose pair may still
+    be frequent are looked at again: an old pair never becomes more frequent.
     """
-    size, rules = 1 << HASH_BITS, []
-    for _ in range(rounds):
-        held, hits = np.zeros(size, np.uint64), np.zeros(size)
-        for k in range(0, len(seq), step):
-            s, ok = seq[k : k + step], ~stop[k : k + step][:-1]
-            key, slot = _slots(s[:-1][ok], s[1:][ok])
-            fresh = held[slot] == 0
-            held[slot[fresh][::-1]] = key[fresh][::-1]  # a slot is for the first pair met
-            same = held[slot] == key
-            hits += np.bincount(slot[same], None if weights is None else weights[k : k + step][:-1][ok][same], size)
-        chosen = np.flatnonzero(hits >= LEAST)
-        if not len(chosen):
+    n = len(seq)
+    seq, stop = seq.astype(np.uint32), stop.copy()
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    alive, rank = np.ones(n, bool), np.zeros(n + 1, np.int64)
+    rules: list[np.ndarray] = []
+    at = np.flatnonzero(~stop[: max(0, n - 1)])
+    while len(at):
+        left, right = seq[at], seq[after[at]]
+        key = left.astype(np.uint64) << np.uint64(32) | right
+        # of a run of one symbol every other pair counts
+        apart = np.ones(len(at), bool)
+        same = np.flatnonzero(left == right)
+        if len(same):
+            begins = np.ones(len(same), bool)
+            begins[1:] = (after[at[same[:-1]]] != at[same[1:]]) | (left[same[1:]] != left[same[:-1]])
+            begin = np.maximum.accumulate(np.where(begins, np.arange(len(same)), 0))
+            apart[same[(np.arange(len(same)) - begin) % 2 == 1]] = False
+        often, count = _frequent(key[apart], least, None if weights is None else weights[at[apart]])
+        if not len(often):
             break
-        pair = held[chosen]
-        name = np.zeros(size, np.uint32)
-        name[chosen] = top + np.arange(len(chosen), dtype=np.uint32)
-        rules.append(np.stack([(pair >> np.uint64(32)).astype(np.uint32), (pair & np.uint64(0xFFFFFFFF)).astype(np.uint32)], 1))
-        top += len(chosen)
-        parts: list[tuple] = []
-        for k in range(0, len(seq), step):
-            s, f = seq[k : k + step], stop[k : k + step]
-            w = None if weights is None else weights[k : k + step]
-            key, slot = _slots(s[:-1], s[1:])
-            at = np.flatnonzero((name[slot] > 0) & (held[slot] == key) & ~f[:-1])
-            if len(at):
-                new_run = np.ones(len(at), bool)
-                new_run[1:] = np.diff(at) != 1
-                begin = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
-                at = at[(np.arange(len(at)) - begin) % 2 == 0]
-                s, f = s.copy(), f.copy()
-                s[at] = name[slot[at]]
-                f[at] = f[at + 1]
-                keep = np.ones(len(s), bool)
-                keep[at + 1] = False
-                s, f, w = s[keep], f[keep], None if w is None else w[keep]
-            parts.append((s, f, w))
-        seq, stop = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        weights = None if weights is None else np.concatenate([p[2] for p in parts])
-    return seq, stop, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
+        which = _among(key, often)
+        at, which, apart = at[which >= 0], which[which >= 0], apart[which >= 0]
+        order = np.empty(len(often), np.int64)
+        order[np.argsort(count, kind="stable")] = 1 + np.arange(len(often))
+        now, kind = at[apart], which[apart]
+        rank[now] = order[kind]
+        won = (rank[now] > rank[before[now]]) & (rank[now] > rank[after[now]])  # place -1 and n have none
+        rank[now] = 0
+        now, kind = now[won], kind[won]
+        pays = np.bincount(kind, None if weights is None else weights[now], len(often)) >= least
+        name = np.zeros(len(often), np.uint32)
+        name[pays] = top + np.arange(int(pays.sum()), dtype=np.uint32)
+        top += int(pays.sum())
+        rules.append(np.stack([(often[pays] >> np.uint64(32)).astype(np.uint32), (often[pays] & np.uint64(0xFFFFFFFF)).astype(np.uint32)], 1))
+        now, kind = now[pays[kind]], kind[pays[kind]]
+        gone = after[now]
+        seq[now], stop[now], alive[gone] = name[kind], stop[gone], False
+        after[now] = after[gone]
+        inner = after[now] < n
+        before[after[now][inner]] = now[inner]
+        near = np.concatenate([at, now, before[now][before[now] >= 0]])
+        near = near[alive[near]]
+        flag = np.zeros(n, bool) if len(near) > n // 16 else None
+        if flag is None:
+            at = np.unique(near)
+        else:
+            flag[near] = True
+            at = np.flatnonzero(flag)
+        at = at[~stop[at] & (after[at] < n)]
+    return seq[alive], stop[alive], np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
+
+
+def _layers(rules: np.ndarray, base: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rules whose parts all come before the range."""
+    most, lo = rules.max(1).astype(np.int64) if len(rules) else np.zeros(0, np.int64), 0
+    while lo < len(rules):
+        hi, step = lo + 1, 1024
+        while hi < len(rules):
+            late = np.flatnonzero(most[hi : hi + step] >= base + lo)
+            if len(late):
+                hi += int(late[0])
+                break
+            hi, step = min(len(rules), hi + step), step * 2
+        yield lo, hi
+        lo = hi
+
+
+def sizes_of(rules: np.ndarray, base: int) -> np.ndarray:
+    """How many ids each symbol expands to."""
+    size = np.ones(base + len(rules), np.int64)
+    for lo, hi in _layers(rules, base):
+        size[base + lo : base + hi] = size[rules[lo:hi]].sum(1)
+    return size
 
 
 def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of every symbol one after another, and where each symbol's begin."""
-    size = np.ones(base + len(rules), np.int64)
-    for i, (a, b) in enumerate(rules.tolist()):
-        size[base + i] = size[a] + size[b]
-    first = np.concatenate([[0], np.cumsum(size)])
+    first = np.concatenate([[0], np.cumsum(sizes_of(rules, base))])
     flat = np.empty(first[-1], np.uint32)
     flat[:base] = np.arange(base)
-    for i, (a, b) in enumerate(rules.tolist()):
-        at = first[base + i]
-        flat[at : at + size[a]] = flat[first[a] : first[a + 1]]
-        flat[at + size[a] : at + size[a] + size[b]] = flat[first[b] : first[b + 1]]
+    for lo, hi in _layers(rules, base):
+        flat[first[base + lo] : first[base + hi]] = gather(flat, first, rules[lo:hi].ravel().astype(np.int64))[0]
     return flat, first
 
 
-def encode_shard(doc_ids: list[int | None], words: np.ndarray, doc_words: np.ndarray, flat: np.ndarray, first: np.ndarray, rounds: tuple[int, int] = (5, 1)) -> bytes:
+def encode_shard(doc_ids: list[int | None], words: np.ndarray, doc_words: np.ndarray, flat: np.ndarray, first: np.ndarray) -> bytes:
     """A shard file's bytes. Document i is the strings ``words[doc_words[i]:doc_words[i+1]]``, string j the ids ``flat[first[j]:first[j+1]]``.
 
-    The first rounds count pairs within strings, each distinct string once with
-    its occurrences as weight; the last rounds count pairs in whole documents.
+    Pairs are replaced within strings first, each distinct string once with its
+    occurrences as weight, then in whole documents.
     """
     uses = np.bincount(words, minlength=len(first) - 1)
     used = np.flatnonzero(uses)
@@ -132,7 +189,7 @@ def encode_shard(doc_ids: list[int | None], words: np.ndarray, doc_words: np.nda
     stop = np.zeros(len(flat), bool)
     stop[np.cumsum(sizes[some]) - 1] = True
     weights = np.repeat(uses.astype(np.float64), sizes)
-    flat, stop, rules = repair(flat, stop, base, rounds[0], weights)
+    flat, stop, rules = repair(flat, stop, base, weights)
     first = np.zeros(len(used) + 1, np.int64)
     first[some + 1] = np.diff(np.concatenate([[0], np.flatnonzero(stop) + 1]))
     first = np.cumsum(first)
@@ -147,13 +204,11 @@ def encode_shard(doc_ids: list[int | None], words: np.ndarray, doc_words: np.nda
     ends = np.concatenate([[0], *ends]).astype(np.int64)[doc_words]
     stop = np.zeros(len(seq), bool)
     stop[ends[1:][np.diff(ends) > 0] - 1] = True
-    seq, stop, more = repair(seq, stop, base + len(rules), rounds[1])
+    seq, stop, more = repair(seq, stop, base + len(rules))
     first_symbol = np.zeros(len(doc_words), np.int64)
     first_symbol[1:][np.diff(ends) > 0] = np.diff(np.concatenate([[0], np.flatnonzero(stop) + 1]))
     rules = np.concatenate([rules, more])
-    size = np.ones(base + len(rules), np.uint32)
-    for i, (a, b) in enumerate(rules.tolist()):
-        size[base + i] = size[a] + size[b]
+    size = sizes_of(rules, base).astype(np.uint32)
     wide = base + len(rules) > 1 << 24
     return b"".join(
         [
@@ -205,13 +260,14 @@ class Shard:
         return self.expand(self.first_symbol[i], self.first_symbol[i + 1])
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 1, shards: int | None = None, rounds: tuple[int, int] = (5, 1)) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 1, shards: int | None = None) -> DataFrame:
     """Write ``docs`` (``doc_id``, ``text``) to shard files in ``folder``; a row per file: shard, path, n_docs, n_ids, n_symbols, n_bytes.
 
-    ``shards``: how many, by default ``spark.sql.shuffle.partitions``. The frame is lazy: files are written when it runs.
+    ``shards``: how many, by default as ``SHARD_BYTES`` says. The frame is lazy: files are written when it runs.
     """
     tokenizer = tokenizer or tokens.default_path()
-    n = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    text = F.col("text").cast("string")
+    n = shards or max(1, -(-(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // SHARD_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -232,13 +288,15 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         if names:
             path = f"{folder}/shard-{shard:06d}.rpr"
             doc_words = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
-            data = encode_shard(names, np.concatenate(parts), doc_words, enc.strings.flat, enc.strings.first, rounds)
+            data = encode_shard(names, np.concatenate(parts), doc_words, enc.strings.flat, enc.strings.first)
             enc.clear()
             publish(path, data)
             _, n_ids, n_symbols, *_ = struct.unpack_from("<6Q", data, 4)
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": [len(names)], "n_ids": [n_ids], "n_symbols": [n_symbols], "n_bytes": [len(data)]})
 
-    sorted_docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows equal in id and text may be many, so their places in the input divide them
+    keyed = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("nth"))
+    sorted_docs = keyed.repartitionByRange(n, "doc_id", "h", "nth").sortWithinPartitions("doc_id", "h", "nth").select("doc_id", "text")
     return sorted_docs.mapInArrow(tidy(run), "shard int, path string, n_docs long, n_ids long, n_symbols long, n_bytes long")
 
 

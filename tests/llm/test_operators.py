@@ -163,7 +163,7 @@ def test_repair_never_crosses_documents():
     seq = np.array([5, 6] * 40 + [7] * 31, np.uint32)
     stop = np.zeros(len(seq), bool)
     stop[[4, 79, -1]] = True
-    out, ends, rules = binary.repair(seq, stop, 8, 6)
+    out, ends, rules = binary.repair(seq, stop, 8)
     flat, first = binary.expansions(rules, 8)
     grown = tokens.gather(flat, first, out.astype(np.int64))[0]
     assert grown.tolist() == seq.tolist() and len(out) < len(seq) / 3
@@ -171,6 +171,75 @@ def test_repair_never_crosses_documents():
     assert {4, 79, len(seq) - 1} <= set((np.cumsum(sizes) - 1).tolist())
 
 
+def plain_repair(docs_, least):
+    """Re-Pair one pair after another, by its definition: the symbols left, and the rules."""
+    from collections import Counter
+
+    top, rules = 1000, 0
+    while True:
+        counts = Counter()
+        for d in docs_:
+            i = 0
+            last = None
+            for i in range(len(d) - 1):
+                pair = (d[i], d[i + 1])
+                if pair == last:  # of a run of one symbol every other pair counts
+                    last = None
+                    continue
+                counts[pair] += 1
+                last = pair if d[i] == d[i + 1] else None
+        if not counts or counts.most_common(1)[0][1] < least:
+            return docs_, rules
+        pair = counts.most_common(1)[0][0]
+        for k, d in enumerate(docs_):
+            out, i = [], 0
+            while i < len(d):
+                if tuple(d[i : i + 2]) == pair:
+                    out.append(top)
+                    i += 2
+                else:
+                    out.append(d[i])
+                    i += 1
+            docs_[k] = out
+        top, rules = top + 1, rules + 1
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_repair_goes_on_until_no_pair_pays(seed):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 40, 300)
+    parts = [np.where(rng.random(300) < 0.02, rng.integers(0, 40, 300), base) for _ in range(40)] + [rng.integers(0, 5, 60), np.zeros(37, int)]
+    seq = np.concatenate(parts).astype(np.uint32)
+    stop = np.zeros(len(seq), bool)
+    stop[np.cumsum([len(p) for p in parts]) - 1] = True
+    out, ends, rules = binary.repair(seq, stop, 1000)
+    flat, first = binary.expansions(rules, 1000)
+    assert tokens.gather(flat, first, out.astype(np.int64))[0].tolist() == seq.tolist()
+    left, pairs = 0, {}
+    for i in range(len(out) - 1):
+        if not ends[i] and not (out[i] == out[i + 1] and left == i and i):
+            pairs[out[i], out[i + 1]] = pairs.get((out[i], out[i + 1]), 0) + 1
+            left = i + 1
+    assert max(pairs.values()) < binary.LEAST + 1
+    want, n = plain_repair([p.tolist() for p in parts], binary.LEAST)
+    assert len(out) + 4 * len(rules) < 1.1 * (sum(map(len, want)) + 4 * n)  # a rule takes as much as four symbols
+
+
+def test_equal_rows_lie_in_many_shards(spark, tmp_path):
+    texts = ["the same text of many rows"] * 400 + [None, ""]
+    d = docs(spark, texts, ids=[7] * 400 + [None, None]).repartition(4).withColumn("h", F.lit("x")).withColumn("nth", F.lit("y"))
+    listing = binary.write_shards(d, f"file://{tmp_path}/s", shards=5)
+    listing.write.parquet(f"{tmp_path}/listing")
+    files = spark.read.parquet(f"{tmp_path}/listing")
+    assert files.count() == 5 and files.agg(F.max("n_docs")).first()[0] < 200
+    out = binary.read_shards(files).toPandas().sort_values("start")
+    ids = library_ids(texts)
+    assert out["n_tokens"].tolist() == [1, 1] + [len(ids[0])] * 400 and out["start"].tolist() == [0, *np.cumsum(out["n_tokens"])[:-1]]
+    assert out["doc_id"].isna().tolist() == [True, True] + [False] * 400 and (out["ids_crc32"][2:] == zlib.crc32(ids[0].tobytes())).all()
+    binary.write_shards(d.limit(0), f"file://{tmp_path}/none").write.parquet(f"{tmp_path}/empty")
+    assert binary.read_shards(spark.read.parquet(f"{tmp_path}/empty")).count() == 0
+
+
 def test_sharding(spark):
     rng = np.random.default_rng(5)
     texts = [prose(rng, int(n)) for n in rng.integers(5, 60, 1500)]
