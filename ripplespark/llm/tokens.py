@@ -4,9 +4,10 @@ A tokenizer whose pre-tokenizer drops white space, and whose normaliser never
 joins characters across it, gives a text the ids of its space-separated chunks
 in order. Such a tokenizer is asked only for chunks not met before: chunks are
 numbered, their ids lie one after another in one array, and a text is a row of
-numbers, found by a whole block's hashes at once. A chunk is told by its 64-bit
-hash and its first eight bytes. Any other tokenizer gets whole texts. The
-numbering is bounded and begun anew when full, which affects speed only.
+numbers, found for a whole block at once. A chunk is told by its bytes, never by a
+hash alone: up to ``SHORT`` bytes as two numbers and a length, longer ones in a
+dictionary. Any other tokenizer gets whole texts. The numbering is bounded and begun
+anew when full, which affects speed only.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .words import Words
 #: Strings that are numbered before the numbering begins anew, and names of a generation that strings are made of.
 ENTRIES = 1_000_000
 NAMES = 200_000
+#: Bytes of a chunk that is looked up with its whole block.
+SHORT = 16
 
 
 #: Marks after a word that the tokenizer reads apart from it, as one.
@@ -100,44 +103,46 @@ class Strings:
 
 
 class Table:
-    """Numbers by (hash, first bytes): open addressing, whole arrays at a time."""
+    """Numbers by short strings (two numbers of eight bytes, and how many bytes): open addressing, whole arrays at a time."""
+
+    SIZE = 26  # a value's bits below the string's size
 
     def __init__(self, bits: int = 21):
         self.bits, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.key, self.check, self.value = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+        self.head, self.tail, self.value = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
 
-    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
-        """The number of each key, -1 where there is none. No key is 0."""
-        out = np.full(len(key), -1, np.int32)
-        at, rest = (key >> self.bits).astype(np.int64), np.arange(len(key))
+    def find(self, slot: np.ndarray, head: np.ndarray, tail: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The number of each string, -1 where there is none. ``slot``: 64-bit hashes, which only say where to look."""
+        out = np.full(len(slot), -1, np.int32)
+        at, rest = (slot >> self.bits).astype(np.int64), np.arange(len(slot))
         while len(rest):
-            have = self.key[at]
-            hit = (have == key[rest]) & (self.check[at] == check[rest])
-            out[rest[hit]] = self.value[at[hit]]
-            on = ~hit & (have != 0)
+            have = self.value[at]
+            hit = (self.head[at] == head[rest]) & (self.tail[at] == tail[rest]) & (have >> self.SIZE == size[rest])
+            out[rest[hit]] = have[hit] & ((1 << self.SIZE) - 1)
+            on = ~hit & (have >= 0)
             rest, at = rest[on], (at[on] + 1) & self.mask
         return out
 
-    def insert(self, key: np.ndarray, check: np.ndarray, value: np.ndarray) -> None:
-        """Add keys that aren't there."""
-        at, rest = (key >> self.bits).astype(np.int64), np.arange(len(key))
+    def insert(self, slot: np.ndarray, head: np.ndarray, tail: np.ndarray, size: np.ndarray, value: np.ndarray) -> None:
+        """Add strings that aren't there."""
+        at, rest = (slot >> self.bits).astype(np.int64), np.arange(len(slot))
         while len(rest):
-            free = np.flatnonzero(self.key[at] == 0)
+            free = np.flatnonzero(self.value[at] < 0)
             _, one = np.unique(at[free], return_index=True)
             won = free[one]
             k = at[won]
-            self.key[k], self.check[k], self.value[k] = key[rest[won]], check[rest[won]], value[rest[won]]
+            self.head[k], self.tail[k], self.value[k] = head[rest[won]], tail[rest[won]], value[rest[won]] | (size[rest[won]] << self.SIZE)
             on = np.ones(len(rest), bool)
             on[won] = False
             rest, at = rest[on], (at[on] + 1) & self.mask
 
 
-def _leading(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def _eight(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The first eight bytes of each span as a number, zero beyond its end."""
     padded = np.concatenate([buf, np.zeros(8, np.uint8)])
     view = np.lib.stride_tricks.as_strided(padded.view(np.uint8), (len(buf) + 1, 8), (1, 1))
-    x = np.ascontiguousarray(view[start]).view("<u8").ravel()
-    size = np.minimum(end - start, 8).astype(np.uint64)
+    x = np.ascontiguousarray(view[np.minimum(start, len(buf))]).view("<u8").ravel()
+    size = np.clip(end - start, 0, 8).astype(np.uint64)
     return np.where(size == 8, x, x & ((np.uint64(1) << (size * np.uint64(8))) - np.uint64(1)))
 
 
@@ -161,18 +166,18 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.strings, self.table = Strings(), Table()
+        self.strings, self.table, self.long = Strings(), Table(), {}
         self.names: dict[str, int] = {"": 0}
         self.old: dict[str, int] = {}
 
     def begin(self) -> None:
         """Begin the numbering anew if it is full or cleared. Numbers given before are void then."""
-        if self.table is None or len(self.strings) > ENTRIES:
+        if self.table is None or len(self.strings) > ENTRIES or len(self.long) > ENTRIES // 4:
             self._reset()
 
     def clear(self) -> None:
         """Give up all tables, as at the end of a task: idle workers then hold the tokenizer alone."""
-        self.strings, self.table, self.names, self.old = Strings(), None, {"": 0}, {}
+        self.strings, self.table, self.long, self.names, self.old = Strings(), None, {}, {"": 0}, {}
 
     def whole(self, text: str) -> np.ndarray:
         """Ids of one text straight from the library."""
@@ -245,18 +250,30 @@ class Encoder:
         if not self.by_chunk:
             return np.array([self.add(self.whole(raw[a:b].decode())) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], np.int32), np.arange(rows + 1)
         w = Words(buf, offsets, _ENDS)
-        key, check = w.hash | np.uint64(1), _leading(buf, w.start, w.end)
-        out = self.table.find(key, check)
-        miss = np.flatnonzero(out < 0)
+        size = w.end - w.start
+        head, tail = _eight(buf, w.start, w.end), _eight(buf, w.start + 8, w.end)
+        some = np.flatnonzero(size <= SHORT)
+        short = [w.hash[some], head[some], tail[some], size[some].astype(np.int32)]
+        out = np.zeros(len(size), np.int32)
+        out[some] = self.table.find(*short)
+        miss = np.flatnonzero(out[some] < 0)
         if len(miss):
-            _, one, inverse = np.unique(key[miss], return_index=True, return_inverse=True)
-            new = miss[one]
-            twins = check[miss] != check[new][inverse]
-            made = self.learn([raw[a:b].decode() for a, b in zip(w.start[new].tolist(), w.end[new].tolist())])
-            self.table.insert(key[new], check[new], made)
-            out[miss] = made[inverse]
-            for i in miss[twins].tolist():  # a hash shared by different chunks
-                out[i] = self.add(self.whole(raw[w.start[i] : w.end[i]].decode()))
+            same = np.lexsort([short[k][miss] for k in (3, 2, 1)])
+            miss = miss[same]
+            fresh = np.ones(len(miss), bool)
+            fresh[1:] = np.any([short[k][miss[1:]] != short[k][miss[:-1]] for k in (1, 2, 3)], 0)
+            new = miss[fresh]
+            at = some[new]
+            made = self.learn([raw[a:b].decode() for a, b in zip(w.start[at].tolist(), w.end[at].tolist())])
+            self.table.insert(*(x[new] for x in short), made)
+            out[some[miss]] = made[np.cumsum(fresh) - 1]
+        rare = np.flatnonzero(size > SHORT)
+        if len(rare):
+            spans = [raw[a:b] for a, b in zip(w.start[rare].tolist(), w.end[rare].tolist())]
+            new = list(set(spans).difference(self.long))
+            if new:
+                self.long.update(zip(new, self.learn([x.decode() for x in new]).tolist()))
+            out[rare] = np.fromiter(map(self.long.__getitem__, spans), np.int32, len(spans))
         first = w.first
         if any(s in raw for s in self.special):
             parts = []

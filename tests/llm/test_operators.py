@@ -109,9 +109,23 @@ def test_numbering_begins_anew(monkeypatch):
 
 def test_hash_table_collisions():
     t = tokens.Table(4)
-    key = np.arange(1, 13, dtype=np.uint64)  # all in one slot
-    t.insert(key, key * np.uint64(3), np.arange(12, dtype=np.int32))
-    assert t.find(key, key * np.uint64(3)).tolist() == list(range(12)) and (t.find(key, key) == -1).all()
+    slot, head = np.zeros(12, np.uint64), np.arange(12, dtype=np.uint64)  # all in one slot
+    size = np.full(12, 3, np.int32)
+    t.insert(slot, head, head, size, np.arange(12, dtype=np.int32))
+    assert t.find(slot, head, head, size).tolist() == list(range(12)) and (t.find(slot, head, head + np.uint64(20), size) == -1).all() and (t.find(slot, head, head, size + 1) == -1).all()
+
+
+def test_strings_of_one_hash_get_their_own_ids():
+    # of 2**11 letters by the parity of ones in their place's number: equal hashes modulo 2**64 whatever the base
+    even = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    odd_ = "".join("ba"[bin(i).count("1") % 2] for i in range(2048))
+    w = words.Words(*block([even, odd_]))
+    assert w.hash[0] == w.hash[1]
+    e = tokens.Encoder(tokens.default_path())
+    texts = [even, odd_, "a\0", "a", "a\0\0", "ninebytes", "ninebytes\0", "x" * 16, "x" * 17]
+    for _ in range(2):
+        ids, ends = e.encode(*block(texts))
+        assert [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)] == [e.whole(t).tolist() for t in texts]
 
 
 def library_ids(texts):
