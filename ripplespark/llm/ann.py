@@ -3,25 +3,33 @@
 Vectors are brought to the unit sphere so that inner product order is distance
 order: candidates are divided by the largest norm and given the coordinate that
 completes norm 1, queries are divided by their own norm. A table hashes a vector
-by ``HASHES`` Gaussian (2-stable) projections, each cut into ``CUTS`` intervals
-of width ``WIDTH``, the outer two open; so a table has at most ``CUTS**HASHES``
-buckets. For a query, a bucket's estimated success is the probability that a
-neighbour of similarity ``rho`` falls there, the product of normal masses of its
-intervals around ``rho`` times the query's projections. Buckets are visited in
-that order until the visited mass promises, over all tables, the target recall.
+by Gaussian (2-stable) projections, each cut into ``CUTS`` intervals of width
+``WIDTH``, the outer two open. For a query, a bucket's estimated success is the
+probability that a neighbour of similarity ``rho`` falls there, the product of
+normal masses of its intervals around ``rho`` times the query's projections.
+Buckets are visited in that order until the visited mass promises, over all tables,
+the target recall.
 
 ``rho`` is the similarity of the ``k``-th neighbour, estimated on bounded samples
-(``SAMPLE`` vectors, ``ASKED`` of them as queries); every row is indexed.
+(``SAMPLE`` vectors, ``ASKED`` of them as queries); every row is indexed. How many
+tables and projections to use is chosen on the same samples, as what promises the
+recall with the fewest candidates scored: where neighbours are much closer than
+other vectors, more projections and tables leave fewer candidates; where they
+aren't, one table does, of which most is visited.
 
 Buckets are gathered into parts of about ``PART`` candidates; larger buckets are
-split by a hash, so no task gets an unbounded group, and queries go to a part in
-blocks of ``PART``. A part scores its visited candidates exactly and returns each
-query's best ``k``; parts are merged by score. Candidates are never capped.
+split by a hash, so no task gets an unbounded group. Queries that visit a part are
+divided into blocks of ``PART`` by their number there, and candidates are sent to
+the blocks of their part alone. A part scores its visited candidates exactly and
+returns each query's best ``k``; parts are merged by score. Candidates are never
+capped. Candidates are sifted in single precision by scaled vectors, with the bound
+of its error as margin, and scored in double precision by the original ones.
 
 A vector that is null, zero, of another length than most, or holds null or
 non-finite components takes no part; nor does a null id. A query's own id is no
 candidate. Ties go to the smaller id. Fewer candidates give fewer rows; empty
-tables give none. Other columns are ignored, whatever their names.
+tables give none. Repeated ids are candidates like any other, of which the best
+counts. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,13 +40,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, read_table, tidy
 
-TABLES = 2
-HASHES = 6
+#: Tables and projections of a table to choose from.
+SHAPES = ((1, 4), (1, 6), (2, 6), (2, 8), (3, 8), (4, 8))
 CUTS = 4
 WIDTH = 1.3
 RECALL = 0.98
@@ -68,7 +76,7 @@ def _phi(x: np.ndarray) -> np.ndarray:
 class Family:
     """The hash functions of all tables for vectors of ``dim`` components with norms up to ``top``."""
 
-    def __init__(self, dim: int, top: float, tables: int = TABLES, hashes: int = HASHES, cuts: int = CUTS, width: float = WIDTH):
+    def __init__(self, dim: int, top: float, tables: int = 1, hashes: int = 6, cuts: int = CUTS, width: float = WIDTH):
         rng = np.random.default_rng(SEED)
         self.top, self.tables, self.hashes, self.cuts = top, tables, hashes, cuts
         self.a = rng.normal(size=(tables, dim + 1, hashes))
@@ -88,7 +96,7 @@ class Family:
 
     def success(self, q: np.ndarray, rho: float) -> np.ndarray:
         """Estimated success of every bucket for each query: tables by queries by buckets."""
-        q = q / np.linalg.norm(q, axis=1, keepdims=True)
+        q = unit(q)
         x = self._project(q, np.zeros(len(q))) * rho
         low = _phi((self.borders[:, None] - x[..., None]) / math.sqrt(max(1e-6, 1 - rho * rho)))
         ends = np.concatenate([np.zeros(low.shape[:-1] + (1,)), low, np.ones(low.shape[:-1] + (1,))], -1)
@@ -109,15 +117,41 @@ def probes(success: np.ndarray, filled: np.ndarray, share: float) -> np.ndarray:
     return out & filled
 
 
+def unit(v: np.ndarray) -> np.ndarray:
+    """Rows divided by their norms, which needn't fit a double."""
+    v = v / np.abs(v).max(1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def choose(s: np.ndarray, asked: np.ndarray, top: float, rho: float, recall: float) -> tuple[Family, float, float]:
+    """The family of ``SHAPES`` that scores the fewest of the sample ``s`` for the queries ``asked``, the mass to visit in a table, and that share of candidates."""
+    best = None
+    for tables, hashes in SHAPES:
+        family = Family(s.shape[1], top, tables, hashes)
+        share = 1 - (1 - recall) ** (1 / tables)
+        scored = 0.0
+        for lo in range(0, len(asked), 8):
+            some = asked[lo : lo + 8]
+            for bucket, success in zip(family.buckets(s), family.success(some, rho)):
+                visit = probes(success, np.ones(success.shape[1], bool), share)
+                scored += visit[:, bucket].mean() * len(some) / len(asked)
+        if best is None or scored < 0.9 * best[2]:  # a larger family must be worth it
+            best = family, share, scored
+    return best
+
+
 def _top(q_ids: np.ndarray, q: np.ndarray, visit: np.ndarray, ids: np.ndarray, v: np.ndarray, at: np.ndarray, k: int) -> tuple[list, list, list]:
     """Each query's best ``k`` among the candidates whose bucket (``at``) it visits."""
     out: tuple[list, list, list] = ([], [], [])
     order = np.argsort(ids, kind="stable")
     ids, v, at = ids[order], v[order], at[order]
-    small = v.astype(np.float32)
-    slack = 1e-5 * max(1.0, float(np.abs(small).max(initial=0)) ** 2) * max(1, v.shape[1]) ** 0.5
+    # scaled to norms of 1 at most, single precision is off by (d + 4) * 2**-24 at most, at the edge and at a candidate
+    largest = np.abs(v).max()
+    small = v / largest
+    small = (small / np.linalg.norm(small, axis=1).max()).astype(np.float32)
+    slack = 2 * (v.shape[1] + 4) * 2.0**-24
     for lo in range(0, len(q), 64):
-        approx = q[lo : lo + 64].astype(np.float32) @ small.T
+        approx = unit(q[lo : lo + 64]).astype(np.float32) @ small.T
         approx[~visit[lo : lo + 64][:, at]] = -np.inf
         for i, row in enumerate(approx):
             own = np.searchsorted(ids, [q_ids[lo + i], q_ids[lo + i] + 1])
@@ -135,23 +169,28 @@ def _top(q_ids: np.ndarray, q: np.ndarray, visit: np.ndarray, ids: np.ndarray, v
     return out
 
 
+def _norm(v: str) -> Column:
+    """The norm of an array, by its largest component."""
+    most = F.array_max(F.transform(v, lambda x: F.abs(x)))
+    return most * F.sqrt(F.aggregate(F.transform(v, lambda x: x / most), F.lit(0.0), lambda a, x: a + x * x))
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector: str = "embedding", recall: float = RECALL, part: int = PART) -> DataFrame:
     """The ``k`` nearest found of each query: query_id, rank, vec_id, score."""
     spark = rows.sparkSession
     base, asked = cut(usable(rows, id_col, vector), "vectors"), cut(usable(queries, id_col, vector), "queries")
     sample = base.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
     empty = "query_id long, rank int, vec_id long, score double"
-    n, n_q = base.count(), asked.count()
-    if not n or not n_q:
+    n = base.count()
+    if not n or not asked.limit(1).count():
         return spark.createDataFrame([], empty)
     s = np.stack(sample["v"].to_numpy())
-    top = math.sqrt(base.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0]) * (1 + 1e-9)
-    near = s[:ASKED] / np.linalg.norm(s[:ASKED], axis=1, keepdims=True) @ (s / top).T
+    top = base.agg(F.max(_norm("v"))).first()[0] * (1 + 1e-9)
+    near = unit(s[:ASKED]) @ (s / top).T
     near[np.arange(len(near)), np.arange(len(near))] = -1
     at = max(1, round(k * len(s) / n))
     rho = float(np.clip(np.median(np.sort(near, 1)[:, -min(at, near.shape[1])]), 0.05, 0.95))
-    family = Family(s.shape[1], top)
-    share = 1 - (1 - recall) ** (1 / family.tables)
+    family, share, _ = choose(s, s[:ASKED], top, rho, recall)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,7 +199,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.full(b.num_rows, t, np.int32)), pa.array(codes.astype(np.int32))], ["id", "v", "t", "bucket"])
 
     table = base.mapInArrow(tidy(hashed), "id long, v array<double>, t int, bucket int")
-    counts = table.groupBy("t", "bucket").count().collect()  # at most TABLES * CUTS**HASHES rows
+    counts = table.groupBy("t", "bucket").count().collect()  # at most tables * CUTS**hashes rows
     size = np.zeros((family.tables, family.cuts**family.hashes), np.int64)
     for r in counts:
         size[r["t"], r["bucket"]] = r["count"]
@@ -176,39 +215,58 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_
             of[t, c] = now
             held += size[t, c]
             pieces[now] = max(1, math.ceil(held / part))
-    blocks = max(1, math.ceil(n_q / part))
-    fixed = spark.sparkContext.broadcast((family, size > 0, of, np.array(pieces, np.int32)))
+    index = spark.sparkContext.broadcast((family, size > 0, of, np.array(pieces, np.int32)))
+
+    def visits(whole: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
+        """Some queries, a table, a part of it, those queries that visit it, and which of its buckets."""
+        family, filled, of, _ = index.value
+        for lo in range(0, whole.num_rows, 32):
+            b = whole.slice(lo, 32)
+            for t, success in enumerate(family.success(b.column(1).flatten().to_numpy().reshape(b.num_rows, -1), rho)):
+                visit = probes(success, filled[t], share)
+                for p in np.unique(of[t][filled[t]]).tolist():
+                    mine = visit[:, (of[t] == p) & filled[t]]
+                    yield b, t, p, np.flatnonzero(mine.any(1)), mine
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = np.zeros(len(index.value[3]), np.int64)
+        for b in batches:
+            for _, _, p, hit, _ in visits(b):
+                got[p] += len(hit)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(got), dtype=np.int32)), pa.array(got)], ["part", "n"])
+
+    asking = asked.mapInArrow(tidy(ask), "part int, n long").groupBy("part").agg(F.sum("n").alias("n"))
+    blocks = np.ones(len(pieces), np.int32)
+    for r in asking.collect():  # a row a part
+        blocks[r["part"]] = math.ceil(r["n"] / part)
+    fixed = spark.sparkContext.broadcast(blocks)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, of, pieces = fixed.value
+        (_, _, of, pieces), blocks = index.value, fixed.value
         for b in batches:
             t, c, ids = b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(0).to_numpy()
             p = of[t, c]
             piece = ((ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % pieces[p].astype(np.uint64)
-            for block in range(blocks):
-                yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(piece.astype(np.int32)), pa.array(np.full(b.num_rows, block, np.int32)), b.column(0), b.column(1), pa.array(c), pa.nulls(b.num_rows, pa.binary())], PLACED_NAMES)
+            for block in range(int(blocks[p].max(initial=0))):
+                here = np.flatnonzero(blocks[p] > block)
+                at = pa.array(here)
+                yield pa.RecordBatch.from_arrays([pa.array(p[here]), pa.array(piece[here].astype(np.int32)), pa.array(np.full(len(here), block, np.int32)), b.column(0).take(at), b.column(1).take(at), pa.array(c[here]), pa.nulls(len(here), pa.binary())], PLACED_NAMES)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, filled, of, pieces = fixed.value
+        pieces, blocks = index.value[3], fixed.value
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                b = whole.slice(lo, 256)
-                v = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
-                block = ((b.column(0).to_numpy().view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)) % np.uint64(blocks)
-                for t, success in enumerate(family.success(v, rho)):
-                    visit = probes(success, filled[t], share)
-                    for p in np.unique(of[t][filled[t]]):
-                        mine = visit[:, (of[t] == p) & filled[t]]
-                        hit = np.flatnonzero(mine.any(1))
-                        bits = [x.tobytes() for x in np.packbits(mine[hit], axis=1)]
-                        for piece in range(pieces[p]):
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(np.full(len(hit), p, np.int32)), pa.array(np.full(len(hit), piece, np.int32)), pa.array(block[hit].astype(np.int32)), b.column(0).take(pa.array(hit)), b.column(1).take(pa.array(hit)), pa.array(np.full(len(hit), t, np.int32)), pa.array(bits, pa.binary())],
-                                PLACED_NAMES,
-                            )
+            for b, t, p, hit, mine in visits(whole):
+                ids, at = b.column(0).to_numpy()[hit], pa.array(hit)
+                block = ((ids.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)) % np.uint64(max(1, blocks[p]))
+                bits = [x.tobytes() for x in np.packbits(mine[hit], axis=1)]
+                for piece in range(pieces[p]):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(hit), p, np.int32)), pa.array(np.full(len(hit), piece, np.int32)), pa.array(block.astype(np.int32)), pa.array(ids), b.column(1).take(at), pa.array(np.full(len(hit), t, np.int32)), pa.array(bits, pa.binary())],
+                        PLACED_NAMES,
+                    )
 
     def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, filled, of, _ = fixed.value
+        _, filled, of, _ = index.value
         ask = pdf["visit"].notna().to_numpy()
         if ask.all() or not ask.any():
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})

@@ -678,6 +678,30 @@ def test_neighbours_of_odd_vectors(spark):
     assert ann.search(d.limit(0), d, 5).count() == 0 and ann.search(d, d.limit(0), 5).count() == 0
 
 
+def test_neighbours_of_huge_and_tiny_vectors(spark):
+    rng = np.random.default_rng(46)
+    v = rng.normal(size=(400, 8))
+    v[[5, 7, 11]] *= 1e60
+    v[[40, 80]] *= 1e-200
+    d = vectors(spark, v).withColumn("id", F.lit("x")).withColumn("v", F.lit("y")).withColumn("part", F.lit(1))
+    out = ann.search(d, d.where("vec_id % 20 = 0")).toPandas().sort_values(["query_id", "rank"])
+    for q in range(0, 400, 20):
+        s = (v * v[q]).sum(1)
+        s[q] = -np.inf
+        assert out[out["query_id"] == q]["vec_id"].tolist() == np.lexsort((np.arange(400), -s))[:20].tolist()
+
+
+def test_close_neighbours_leave_most_candidates_unscored():
+    rng = np.random.default_rng(47)
+    centres = rng.normal(size=(100, 32))
+    s = centres[rng.integers(0, 100, 4000)] + 0.25 * rng.normal(size=(4000, 32))
+    s /= np.linalg.norm(s, axis=1, keepdims=True)
+    family, share, scored = ann.choose(s, s[:64], 1.0, 0.9, 0.98)
+    assert scored < 0.35 and family.hashes > 4
+    _, _, blind = ann.choose(rng.normal(size=(2000, 32)), rng.normal(size=(64, 32)), 12.0, 0.2, 0.98)
+    assert 0.5 < blind <= 1  # nothing to tell neighbours by: one table, most of which is visited
+
+
 def test_neighbours_tie_to_smaller_ids(spark):
     v = np.tile([[0.6, 0.8]], (300, 1))
     out = ann.search(vectors(spark, v), vectors(spark, v[:1], [1000]), 20, part=50).orderBy("rank").collect()
