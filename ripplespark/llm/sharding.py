@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import cut, read_table
 
 CELLS = 1 << 16
-SUBCELLS = 256
+SUBCELLS = 32
 HEAVY = 512
 SLACK = 1 / 256
 NODES = 128
@@ -82,6 +82,7 @@ def assign(docs: DataFrame, shards: int = 16, slack: float = SLACK) -> DataFrame
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
         F.pmod(key, F.lit(CELLS)).cast("int").alias("cell"),
         F.pmod(F.shiftright(key, 20), F.lit(SUBCELLS)).cast("int").alias("sub"),
+        key.alias("key"),
     )
     rows = cut(rows, "sizes")
     cells = rows.groupBy("cell").agg(F.sum("size").alias("size")).collect()  # CELLS rows at most
@@ -89,36 +90,42 @@ def assign(docs: DataFrame, shards: int = 16, slack: float = SLACK) -> DataFrame
     most = total / shards / HEAVY
     heavy = {r.cell for r in cells if r["size"] > most}
     units = [(r["size"], r["cell"], -1, -1) for r in cells if r["cell"] not in heavy]
-    slices: dict[tuple[int, int], int] = {}
+    slices: dict[tuple[int, int, int], int] = {}
     if heavy:  # at most HEAVY * shards cells
         marked = spark.createDataFrame([(c,) for c in sorted(heavy)], "cell int")
         inner = rows.join(F.broadcast(marked), "cell", "left_semi").groupBy("cell", "sub").agg(F.sum("size").alias("size")).collect()
         whole = math.ceil(total / shards * (1 + slack))
-        slices = {(r["cell"], r["sub"]): math.ceil(r["size"] / max(1, most)) for r in inner if r["size"] > whole}
-        units += [(r["size"], r["cell"], r["sub"], -1) for r in inner if (r["cell"], r["sub"]) not in slices]
-    if slices:  # fewer than ``shards`` keys are larger than a shard
-        giant = spark.createDataFrame([(c, s, k) for (c, s), k in slices.items()], "cell int, sub int, k int")
+        left = {(r["cell"], r["sub"]): r["size"] for r in inner}
+        big = [u for u, size in left.items() if size > whole]
+        if big:  # fewer than ``shards`` units and keys are larger than a shard
+            table = spark.createDataFrame(big, "cell int, sub int")
+            keys = rows.join(F.broadcast(table), ["cell", "sub"]).groupBy("cell", "sub", "key").agg(F.sum("size").alias("size"))
+            for r in keys.where(F.col("size") > whole).collect():
+                slices[r["cell"], r["sub"], r["key"]] = math.ceil(r["size"] / max(1, most))
+                left[r["cell"], r["sub"]] -= r["size"]
+        units += [(size, c, s, -1) for (c, s), size in left.items() if size]
+    giant = spark.createDataFrame([(x, k) for (_, _, x), k in slices.items()], "key long, k int")
+    if slices:
         parts = (
-            rows.join(F.broadcast(giant), ["cell", "sub"])
-            .groupBy("cell", "sub", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int").alias("slice"))
+            rows.join(F.broadcast(giant), "key")
+            .groupBy("cell", "sub", "key", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int").alias("slice"))
             .agg(F.sum("size").alias("size"))
             .collect()
         )
-        units += [(r["size"], r["cell"], r["sub"], r["slice"]) for r in parts]
+        units += [(r["size"], r["cell"], r["sub"], r["slice"], r["key"]) for r in parts]
     ring = Ring(shards, total, slack)
-    units.sort(key=lambda u: (-u[0] if u[0] > most else 0, _hash(3, *(x + 1 for x in u[1:])), u[1:]))
-    placed = [(c, s, k, ring.place(c, size)) for size, c, s, k in units]
-    plan = spark.createDataFrame(placed, "cell int, u int, k int, shard int")
+    units.sort(key=lambda u: (-u[0] if u[0] > most else 0, _hash(3, *(x + 1 for x in u[1:4])), u[1:]))
+    placed = [(u[1], u[2], u[3], u[4] if len(u) > 4 else None, ring.place(u[1], u[0])) for u in units]
+    plan = spark.createDataFrame(placed, "cell int, u int, k int, key long, shard int")
     light = F.broadcast(plan.where("u < 0").select("cell", "shard"))
     out = rows.join(light, "cell", "left")
     if heavy:
         some = F.broadcast(plan.where("u >= 0 and k < 0").select("cell", F.col("u").alias("sub"), F.col("shard").alias("inner")))
         out = out.join(some, ["cell", "sub"], "left").withColumn("shard", F.coalesce("shard", "inner")).drop("inner")
     if slices:
-        n = F.broadcast(giant)
-        last = F.broadcast(plan.where("k >= 0").select("cell", F.col("u").alias("sub"), F.col("k").alias("slice"), F.col("shard").alias("inner")))
-        out = out.join(n, ["cell", "sub"], "left").withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
-        out = out.join(last, ["cell", "sub", "slice"], "left").withColumn("shard", F.coalesce("shard", "inner"))
+        last = F.broadcast(plan.where("k >= 0").select("key", F.col("k").alias("slice"), F.col("shard").alias("own")))
+        out = out.join(F.broadcast(giant), "key", "left").withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
+        out = out.join(last, ["key", "slice"], "left").withColumn("shard", F.coalesce("own", "shard"))
     return out.select("doc_id", "size", "text_crc32", "shard")
 
 
@@ -126,7 +133,9 @@ def number(assigned: DataFrame) -> DataFrame:
     """``assigned`` with ``slot``, gapless from 0 in each shard."""
     n = assigned.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
     buckets = max(1, math.ceil(n / BUCKET_ROWS))
-    rows = assigned.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).cast("int"))
+    # rows may be equal in all columns, so their places in the table divide them
+    place = F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16))
+    rows = assigned.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", place), F.lit(buckets)).cast("int"))
     order = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))

@@ -275,6 +275,44 @@ def test_sharding_splits_only_what_no_shard_can_hold(spark):
     assert loads.max() / loads.mean() < 1.06 and out[out["doc_id"] >= 500].shape[0] == 1000
 
 
+def test_only_the_giant_of_a_unit_is_split(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CELLS", 4)
+    monkeypatch.setattr(sharding, "SUBCELLS", 2)
+    rng = np.random.default_rng(48)
+    small = [prose(rng, 30) for _ in range(60)]
+    texts = ["hot text of many copies " * 20] * 400 + [x for x in small for _ in range(5)]
+    out = sharding.shard(docs(spark, texts), 4).toPandas()
+    out["text"] = [texts[i] for i in out["doc_id"]]
+    spread = out.groupby("text")["shard"].nunique()
+    assert spread[texts[0]] > 1 and (spread[small] == 1).all()
+
+
+def test_shards_are_those_of_a_plain_ring(spark):
+    rng = np.random.default_rng(49)
+    texts = [prose(rng, int(n)) for n in rng.integers(5, 60, 4000)]
+    d = docs(spark, texts)
+    out = sharding.shard(d, 4).toPandas().set_index("doc_id")["shard"]
+    key = F.xxhash64(F.lit(17), F.col("text"), F.octet_length("text"))
+    places = d.select("doc_id", F.pmod(key, F.lit(sharding.CELLS)).cast("int").alias("c"), F.pmod(F.shiftright(key, 20), F.lit(sharding.SUBCELLS)).cast("int").alias("s")).collect()
+    size = {i: len(t.encode()) + 1 for i, t in enumerate(texts)}
+    mean = sum(size.values()) / 4
+    most, by_cell, by_unit = mean / sharding.HEAVY, {}, {}
+    for r in places:
+        by_cell[r["c"]] = by_cell.get(r["c"], 0) + size[r["doc_id"]]
+    unit = {r["doc_id"]: (r["c"], r["s"] if by_cell[r["c"]] > most else -1) for r in places}
+    for i, u in unit.items():
+        by_unit[u] = by_unit.get(u, 0) + size[i]
+    nodes = sorted((sharding._hash(1, s, k) % sharding.CELLS, sharding._hash(2, s, k), s) for s in range(4) for k in range(sharding.NODES))
+    room, want = dict.fromkeys(range(4), int(np.ceil(mean * (1 + sharding.SLACK)))), {}
+    for u in sorted(by_unit, key=lambda u: (-by_unit[u] if by_unit[u] > most else 0, sharding._hash(3, u[0] + 1, u[1] + 1, 0), u)):
+        ring = [s for place, _, s in nodes if place >= u[0]] + [s for place, _, s in nodes if place < u[0]]
+        want[u] = next(s for s in ring if room[s] >= by_unit[u])
+        room[want[u]] -= by_unit[u]
+    assert all(out[i] == want[u] for i, u in unit.items())
+    loads = pd.Series(size).groupby(out).sum()
+    assert loads.max() <= mean * (1 + sharding.SLACK) + 1
+
+
 def test_ring_moves_little():
     cells = np.random.default_rng(7).permutation(sharding.CELLS)[:4000].tolist()
     a, b = sharding.Ring(16, 4000), sharding.Ring(17, 4000)
