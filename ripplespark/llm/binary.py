@@ -67,7 +67,7 @@ def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     slot = lambda k: ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
     maybe = np.zeros(1 << bits, bool)
     maybe[slot(known)] = True
-    out = np.full(len(keys), -1, np.int64)
+    out = np.full(len(keys), -1, np.int32)
     some = np.flatnonzero(maybe[slot(keys)])
     at = np.minimum(np.searchsorted(known, keys[some]), len(known) - 1)
     hit = known[at] == keys[some]
@@ -86,13 +86,15 @@ def repair(seq: np.ndarray, stop: np.ndarray, top: int, weights: np.ndarray | No
     """
     n = len(seq)
     seq, stop = seq.astype(np.uint32), stop.copy()
-    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
-    alive, rank = np.ones(n, bool), np.zeros(n + 1, np.int64)
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    alive, rank = np.ones(n, bool), np.zeros(n + 1, np.int32)
     rules: list[np.ndarray] = []
-    at = np.flatnonzero(~stop[: max(0, n - 1)])
+    at = np.flatnonzero(~stop[: max(0, n - 1)]).astype(np.int32)
     while len(at):
         left, right = seq[at], seq[after[at]]
-        key = left.astype(np.uint64) << np.uint64(32) | right
+        key = left.astype(np.uint64)
+        key <<= np.uint64(32)
+        key |= right
         # of a run of one symbol every other pair counts
         apart = np.ones(len(at), bool)
         same = np.flatnonzero(left == right)
@@ -106,7 +108,7 @@ def repair(seq: np.ndarray, stop: np.ndarray, top: int, weights: np.ndarray | No
             break
         which = _among(key, often)
         at, which, apart = at[which >= 0], which[which >= 0], apart[which >= 0]
-        order = np.empty(len(often), np.int64)
+        order = np.empty(len(often), np.int32)
         order[np.argsort(count, kind="stable")] = 1 + np.arange(len(often))
         now, kind = at[apart], which[apart]
         rank[now] = order[kind]
@@ -131,7 +133,7 @@ def repair(seq: np.ndarray, stop: np.ndarray, top: int, weights: np.ndarray | No
             at = np.unique(near)
         else:
             flag[near] = True
-            at = np.flatnonzero(flag)
+            at = np.flatnonzero(flag).astype(np.int32)
         at = at[~stop[at] & (after[at] < n)]
     return seq[alive], stop[alive], np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
@@ -288,8 +290,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         if names:
             path = f"{folder}/shard-{shard:06d}.rpr"
             doc_words = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
-            data = encode_shard(names, np.concatenate(parts), doc_words, enc.strings.flat, enc.strings.first)
-            enc.clear()
+            words = np.concatenate(parts)
+            parts.clear()
+            data = encode_shard(names, words, doc_words, enc.strings.flat, enc.strings.first)
             publish(path, data)
             _, n_ids, n_symbols, *_ = struct.unpack_from("<6Q", data, 4)
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": [len(names)], "n_ids": [n_ids], "n_symbols": [n_symbols], "n_bytes": [len(data)]})
