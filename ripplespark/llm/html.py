@@ -35,8 +35,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
-from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -44,9 +44,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, read_table, split_by_keys, tidy
+from .words import mix
 
 LEAST_PAGES = 8
 LEAST_SHARE = 0.02
+#: Frequent subtrees (8 bytes each) that may be sent to all tasks.
+MOST_TEMPLATES = 1_000_000
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*+)((?:[^\"'>]++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*+)([^>]*)>|<[/a-zA-Z][^>]*\Z",
@@ -356,38 +359,64 @@ def templates(parsed: DataFrame, least_pages: int = LEAST_PAGES, least_share: fl
     return counts.join(hosts, "host").where(F.col("n") > F.greatest(F.lit(float(least_pages)), F.col("pages") * least_share)).select("host", "mark")
 
 
-def _without(rows: DataFrame) -> DataFrame:
-    """``page_id``, ``url``, ``kept`` (blocks), ``n_template``, ``n_rule`` of pages whose subtrees ``drop`` go."""
+def _without(rows: DataFrame, known: np.ndarray | None = None) -> DataFrame:
+    """``page_id``, ``url``, ``kept`` (blocks), ``n_template``, ``n_rule`` of pages without their subtrees in ``known`` (sorted keys of host and hash), or else in the column ``drop``."""
+    held = None if known is None else rows.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kept, template, rule = [], [], []
-            for r in b.select(["blocks", "hashes", "firsts", "ends", "drop"]).to_pylist():
-                drop, step = set(r["drop"] or ()), [0] * (len(r["blocks"]) + 1)
-                for h, lo, hi in zip(r["hashes"], r["firsts"], r["ends"]):
-                    if h in drop:
-                        step[lo] += 1
-                        step[hi] -= 1
-                inside = [x > 0 for x in accumulate(step)]
-                kept.append([t for t, gone in zip(r["blocks"], inside) if t is not None and not gone])
-                template.append(sum(inside))
-                rule.append(sum(t is None and not gone for t, gone in zip(r["blocks"], inside)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kept, pa.list_(pa.string())), pa.array(template, pa.int64()), pa.array(rule, pa.int64())], ["page_id", "url", "kept", "n_template", "n_rule"])
-
-    some = rows.select("page_id", "url", "blocks", "hashes", "firsts", "ends", "drop")
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                b = whole.slice(lo, 1024)
+                blocks, hashes, firsts, ends = (b.column(i) for i in range(2, 6))
+                per, n = pc.list_value_length(hashes).to_numpy(), pc.list_value_length(blocks).to_numpy()
+                row, h = np.repeat(np.arange(b.num_rows), per), hashes.flatten().to_numpy()
+                if held is None:
+                    drop = [set(x or ()) for x in b.column(6).to_pylist()]
+                    gone = np.fromiter((x in drop[r] for r, x in zip(row.tolist(), h.tolist())), bool, len(h))
+                else:
+                    key = template_key(b.column(6).to_numpy()[row], h)
+                    gone = held.value[np.minimum(np.searchsorted(held.value, key), len(held.value) - 1)] == key
+                begin = np.concatenate([[0], np.cumsum(n + 1)])  # one more place a page, where its last spans end
+                step = np.zeros(begin[-1], np.int64)
+                np.add.at(step, begin[row[gone]] + firsts.flatten().to_numpy()[gone], 1)
+                np.add.at(step, begin[row[gone]] + ends.flatten().to_numpy()[gone], -1)
+                inside = np.delete(np.cumsum(step) > 0, begin[1:] - 1)
+                at, shown = np.repeat(np.arange(b.num_rows), n), blocks.flatten().is_valid().to_numpy(zero_copy_only=False)
+                stays = shown & ~inside
+                cuts = np.concatenate([[0], np.cumsum(np.bincount(at[stays], minlength=b.num_rows))]).astype(np.int32)
+                kept = pa.ListArray.from_arrays(pa.array(cuts), blocks.flatten().filter(pa.array(stays)))
+                counts = [pa.array(np.bincount(at[x], minlength=b.num_rows).astype(np.int64)) for x in (inside, ~shown & ~inside)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), kept, *counts], ["page_id", "url", "kept", "n_template", "n_rule"])
+
+    some = rows.select("page_id", "url", "blocks", "hashes", "firsts", "ends", "host" if held else "drop")
     return some.mapInArrow(tidy(run), "page_id long, url string, kept array<string>, n_template long, n_rule long")
 
 
-def main_text(rows: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """page_id, url, text, n_chars, n_template, n_rule (blocks deleted as template, and by rules alone) of every page."""
+def template_key(host: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """One number for a host and a subtree's hash."""
+    return mix(host.view(np.uint64) ^ mix(mark.view(np.uint64)))
+
+
+def main_text(rows: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, most_templates: int = MOST_TEMPLATES) -> DataFrame:
+    """page_id, url, text, n_chars, n_template, n_rule (blocks deleted as template, and by rules alone) of every page.
+
+    Up to ``most_templates`` frequent subtrees are sent to all tasks, which cut their
+    pages where they lie; beyond that pages that hold some are joined with them.
+    Both ways give the same rows.
+    """
     parsed = cut(pages(rows), "pages")
     found = cut(templates(parsed, least_pages, least_share), "templates")
-    own = parsed.select("uid", "host", F.explode(F.array_distinct("hashes")).alias("mark"))
-    drop = cut(own.join(found, ["host", "mark"]).groupBy("uid").agg(F.collect_set("mark").alias("drop")), "drop")  # a page's own subtrees
-    maybe, clear = split_by_keys(parsed, drop, "uid")
-    shown = F.filter("blocks", lambda x: x.isNotNull())
-    clear = clear.select("page_id", "url", shown.alias("kept"), F.lit(0).cast("long").alias("n_template"), (F.size("blocks") - F.size(shown)).cast("long").alias("n_rule"))
-    out = _without(maybe.join(drop, "uid", "left")).unionByName(clear)
+    n = found.count()
+    if n and n <= most_templates:
+        pairs = found.toPandas()
+        out = _without(parsed, np.sort(template_key(pairs["host"].to_numpy(np.int64), pairs["mark"].to_numpy(np.int64))))
+    else:
+        own = parsed.select("uid", "host", F.explode(F.array_distinct("hashes")).alias("mark"))
+        drop = cut(own.join(found, ["host", "mark"]).groupBy("uid").agg(F.collect_set("mark").alias("drop")), "drop")  # a page's own subtrees
+        maybe, clear = split_by_keys(parsed, drop, "uid")
+        shown = F.filter("blocks", lambda x: x.isNotNull())
+        clear = clear.select("page_id", "url", shown.alias("kept"), F.lit(0).cast("long").alias("n_template"), (F.size("blocks") - F.size(shown)).cast("long").alias("n_rule"))
+        out = _without(maybe.join(drop, "uid", "left")).unionByName(clear)
     text = F.array_join("kept", "\n")
     return out.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), "n_template", "n_rule")
 

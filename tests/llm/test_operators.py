@@ -663,6 +663,7 @@ def test_templates_go_by_frequency(spark):
     assert out[300]["text"] == out[301]["text"] == "" and all(r["n_chars"] == len(r["text"]) for r in out.values())
     assert all(out[400 + i]["text"] == f"own {i}\nas ever" and (out[400 + i]["n_template"], out[400 + i]["n_rule"]) == (3, 0) for i in range(30))
     assert html.main_text(t.limit(0)).count() == 0
+    assert sorted(map(str, html.main_text(t, most_templates=0).collect())) == sorted(map(str, out.values()))  # both ways
 
 
 def test_templates_are_those_of_a_recount(spark):
