@@ -274,7 +274,8 @@ def _bucket_links(keys: np.ndarray, h: np.ndarray, root: np.ndarray, side: np.nd
                 a, b = find(int(root[lo + i])), find(int(root[lo + j]))
                 if a != b:
                     label[max(a, b)] = min(a, b)
-                    yield int(h[lo + i]), int(h[lo + j])
+                    u, v = int(h[lo + i]), int(h[lo + j])
+                    yield min(u, v), max(u, v)
 
 
 def _compare(rows: DataFrame, jaccard: float) -> DataFrame:
@@ -314,7 +315,8 @@ def paragraph_links(docs: DataFrame, classes: DataFrame, jaccard: float = JACCAR
     shared = cut(held.groupBy("band").count().where("count > 1").select("band"), "bands")
     maybe, _ = split_by_keys(held, shared, "band")
     members = cut(maybe.join(shared, "band"), "members")
-    wanted = cut(classes.join(members.select("h").distinct(), "h").select("first.doc", "first.start", "first.end", "h"), "wanted")
+    some, _ = split_by_keys(classes.select("h", "first"), members, "h")
+    wanted = cut(some.join(members.select("h").distinct(), "h").select("first.doc", "first.start", "first.end", "h"), "wanted")
     sets = cut(shingle_sets(docs, wanted), "sets")
     ends = members.groupBy("band").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
     star = members.join(ends, "band").select("h", F.explode(F.array("lo", "hi")).alias("o")).where("h <> o")
@@ -472,14 +474,15 @@ def repeats(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     classes = cut(lines.groupBy("h").agg(F.min(order).alias("first"), F.max("doc").alias("hi"), F.min("doc").alias("lo"), F.first("bands").alias("bands")), "classes")
     links = paragraph_links(docs, classes, jaccard)
     groups = cut(components(links).withColumnRenamed("node", "h"), "groups")
-    firsts = classes.join(groups, "h").groupBy("root").agg(F.min("first").alias("kept"))
+    some, _ = split_by_keys(classes.select("h", "first"), groups, "h")
+    firsts = some.join(groups, "h").groupBy("root").agg(F.min("first").alias("kept"))
     grouped = groups.join(firsts, "root").select("h", "root", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.doc").alias("kept_doc"))
     alone = classes.where("lo < hi").join(groups, "h", "left_anti").select("h", F.col("h").alias("root"), F.col("first.doc_id").alias("kept_doc_id"), F.col("first.doc").alias("kept_doc"))
     known = cut(grouped.unionByName(alone), "known")
     maybe, _ = split_by_keys(lines.drop("bands"), known, "h")
     paragraphs = maybe.join(known, "h").where("doc <> kept_doc").select("doc", "doc_id", F.lit("paragraph").alias("kind"), "start", "end", F.col("words").alias("n_words"), F.col("root").alias("cluster_id"), "kept_doc_id")
     paragraphs = cut(paragraphs, "paragraphs")
-    free(classes, links, groups)
+    free(classes, links, groups, known)
 
     seeds = found.where("seeds IS NOT NULL").select("doc", "doc_id", F.inline("seeds"))
     spans_ = cut(passages(docs, seeds, paragraphs.select("doc", "start", "end")), "passages")
