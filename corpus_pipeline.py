@@ -2,7 +2,8 @@
 
 Quality rules, near-duplicate removal, substring dedup, mixing to target weights
 and packing. Every stage but the last returns the columns of ``documents``; the
-mix may hold a document more than once, and packing packs each time it does.
+mix may hold a document more than once, and packing packs each time it does. All
+stages keep other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,31 +11,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ripplespark.llm import mixing, packing, paragraphs, quality, simhash
-from ripplespark.llm.common import cut, read_table
+from ripplespark.llm.common import new_path, read_table, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; of the others, frequent lines of their host."""
+    """Rejected documents go; of the others, frequent lines of their host.
+
+    Null and empty texts are rejected (they have no words); a null source is a host
+    like any other; repeated rows are judged each; an empty table stays empty.
+    """
     return quality.clean(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One row of each group of near-duplicates stays: the least doc_id, null ids last.
+
+    Null texts are in no group and stay; of repeated rows one stays; long texts
+    count whole; an empty table stays empty.
+    """
     return simhash.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Paragraphs and passages that an earlier document has are cut out."""
+    """Paragraphs and passages that an earlier document has are cut out.
+
+    Null texts stay; a document of which no word is left goes; rows equal in
+    doc_id and text are one document; an empty table stays empty.
+    """
     return paragraphs.remove(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix draws them."""
+    """Documents as often as the mix draws them.
+
+    Null texts have size 0 and may be drawn like any other; a null source is a
+    source of its own; repeated rows are drawn together; an empty table stays empty.
+    """
     return mixing.mix(docs, order=False)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces in sequences of at most 2048 ids."""
+    """Pieces in sequences of at most 2048 ids.
+
+    A null or empty text is its end id alone; a repeated row is packed each time; an
+    empty table gives no pieces.
+    """
     return packing.pack(docs)
 
 
@@ -51,8 +72,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written and read again."""
+    """All stages, each written and read again; what a stage wrote for itself goes when its rows are written."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name.split()[0])
+        with scratch(spark):
+            kept = stage(spark, docs, sf_dir)
+            path = new_path(spark, name.split()[0])
+            kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
