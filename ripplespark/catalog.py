@@ -247,14 +247,14 @@ def reaching_defs(spark: SparkSession, d: str) -> DataFrame:
     return changed.last_before(rows, rows, ["doc_id", "first"], "line", "line").na.fill(0, ["last_line"])
 
 
-NEAR = f"""WITH {T.SITES_SQL}, pts AS (SELECT DISTINCT file, line FROM sites WHERE diff_id = 'R'), marks AS (SELECT file, start_line AS line, id FROM symbols),
+NEAR = f"""WITH {T.SITES_SQL}, pts AS (SELECT DISTINCT file, line FROM sites), marks AS (SELECT file, start_line AS line, id FROM symbols),
 hits AS (SELECT a.file, a.line, id, ord, delta FROM pts a CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS ord, unnest([0, -1, 1, -2, 2]) AS delta) o JOIN marks m ON m.file = a.file AND m.line = a.line + delta)
 SELECT file, line, id, delta FROM (SELECT *, bool_or(delta = 0) OVER (PARTITION BY file, line) AS own FROM hits) WHERE NOT own OR delta = 0"""
 
 
 @query(NEAR)
 def callsite_proximity(spark: SparkSession, d: str) -> DataFrame:
-    rows = T.sites(spark, d).where("diff_id = 'R'").select("file", "line").distinct().withColumn("row_id", F.xxhash64("file", "line"))
+    rows = T.sites(spark, d).select("file", "line").distinct().withColumn("row_id", F.xxhash64("file", "line"))
     marks = T.symbols(spark, d).select("file", F.col("start_line").alias("line"), "id")
     return changed.near(rows, marks, ["file"], [0, -1, 1, -2, 2]).select("file", "line", "id", "delta")
 

@@ -16,6 +16,7 @@ from .operators import dataflow, resolve
 from .sources import code, diff
 from .sources.tables import read
 from .streaming.diffs import change_counts
+from .work import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 _found: dict[str, tuple[Query, str | None]] = {}
@@ -113,7 +114,8 @@ def code_imports(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {FILES_SQL} SELECT DISTINCT a.id AS src, b.id AS dst, a.file, a.start_line + 1 AS line FROM sym a JOIN sym b ON b.name = 'f' || a.n")
 def code_edges(spark: SparkSession, d: str) -> DataFrame:
-    found = resolve.resolve(*(code.refs(source_files(spark, d)), code.imports(source_files(spark, d)), code.symbols(source_files(spark, d))))
+    symbols, refs, imports = (cut(x, "extracted") for x in code.extract(cut(source_files(spark, d), "sources")))
+    found = resolve.resolve(refs, imports, symbols)
     return found.select("src", "dst", "file", "line").distinct()
 
 

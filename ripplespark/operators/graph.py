@@ -27,9 +27,10 @@ def adjacency(edges: DataFrame, direction: str, *columns: str) -> DataFrame:
 def reach(edges: DataFrame, seeds: DataFrame, direction: str = "callers", max_depth: int = 100, by: list[str] | None = None) -> DataFrame:
     """Nodes reached from ``seeds`` (``node`` and ``by``) with their least depth; seeds have depth 0."""
     keys = by or []
-    adj = adjacency(edges, direction).distinct()
     seen = cut(seeds.select(*keys, "node").distinct().withColumn("depth", F.lit(0)), "level")
-    front = seen
+    if max_depth < 1:
+        return seen
+    front, adj = seen, cut(adjacency(edges, direction).distinct(), "adjacency")
     for d in range(1, max_depth + 1):
         moved = front.join(adj, front["node"] == adj["cur"]).select(*keys, F.col("next").alias("node")).distinct()
         front = cut(moved.join(seen.select(*keys, "node"), [*keys, "node"], "left_anti").withColumn("depth", F.lit(d)), "level")
@@ -104,7 +105,7 @@ def witnesses(edges: DataFrame, seeds: DataFrame, direction: str = "callers", ma
     """
     keys = by or []
     hop = F.struct("src", "dst", "kind", "provenance", "file", "line").alias("hop")
-    adj = adjacency(edges.withColumn("hop", hop), direction, "hop")
+    adj = cut(adjacency(edges.withColumn("hop", hop), direction, "hop"), "adjacency")
     seen = cut(seeds.select(*keys, "node").distinct().select(*keys, "node", F.col("node").alias("root"), F.array().cast(f"array<{HOP}>").alias("path"), F.lit(0).alias("depth")), "witness")
     front = seen
     for d in range(1, max_depth + 1):
@@ -167,7 +168,7 @@ def highlight(edges: DataFrame, seeds: DataFrame, targets: DataFrame, max_depth:
     return hops.unionByName(hops.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def closure(edges: DataFrame, inputs: DataFrame, by: list[str], max_rounds: int = 100) -> DataFrame:
+def closure(edges: DataFrame, inputs: DataFrame, by: list[str]) -> DataFrame:
     """Nodes that flow from each input (``node`` and ``by``) along edges that carry the same ``by`` but the input's own key.
 
     ``edges``: ``src``, ``dst`` and those of ``by`` that bound the search (a function). The input isn't in its closure.
@@ -175,8 +176,9 @@ def closure(edges: DataFrame, inputs: DataFrame, by: list[str], max_rounds: int
     bound = [c for c in by if c in edges.columns]
     seen = cut(inputs.select(*by, "node").distinct(), "closure")
     front, start = seen, seen
-    for _ in range(max_rounds):
-        moved = front.join(edges.withColumnRenamed("src", "node"), [*bound, "node"]).select(*by, F.col("dst").alias("node")).distinct()
+    ahead = cut(edges.withColumnRenamed("src", "node").select(*bound, "node", "dst").distinct(), "adjacency")
+    while True:  # until nothing new is met, however many rounds that takes
+        moved = front.join(ahead, [*bound, "node"]).select(*by, F.col("dst").alias("node")).distinct()
         front = cut(moved.join(seen, [*by, "node"], "left_anti"), "closure")
         if front.isEmpty():
             break
