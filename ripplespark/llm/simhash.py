@@ -54,9 +54,9 @@ REACH = LIMIT / BITS
 RECALL = 0.95
 #: The recall of a forest inside a dense bucket, of which a pair may pass ``LEVELS``: 0.91 in all.
 INNER_RECALL = 0.98
-BUCKET = 1024
+BUCKET = 128
 MOST_TRIES = 64
-DENSE = 8192
+DENSE = 4096
 LEVELS = 2
 
 #: Bytes that end a word here: white space and ASCII signs.
