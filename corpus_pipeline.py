@@ -4,16 +4,34 @@ Quality rules, near-duplicate removal, substring dedup, mixing to target weights
 and packing. Every stage but the last returns the columns of ``documents``; the
 mix may hold a document more than once, and packing packs each time it does. All
 stages keep other columns, whatever their names.
+
+A stage's rows are lazy, so each stage leaves the session's limit for batches to
+Python at 4 MB where the session names none (``common.small_batches``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ripplespark.llm import mixing, packing, paragraphs, quality, simhash
-from ripplespark.llm.common import new_path, read_table, scratch
+from ripplespark.llm.common import new_path, read_table, scratch, small_batches
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _stage(run: Stage) -> Stage:
+    @wraps(run)
+    def wrapped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return run(spark, docs, sf_dir)
+
+    return wrapped
 
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; of the others, frequent lines of their host.
 
@@ -23,6 +41,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.clean(docs)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates stays: the least doc_id, null ids last.
 
@@ -32,6 +51,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
+@_stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Paragraphs and passages that an earlier document has are cut out.
 
@@ -41,6 +61,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return paragraphs.remove(docs)
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix draws them.
 
@@ -50,6 +71,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, order=False)
 
 
+@_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces in sequences of at most 2048 ids.
 

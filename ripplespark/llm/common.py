@@ -23,6 +23,20 @@ from pyspark.sql import functions as F
 #: Bits of a key filter: 2**23 bits are 2**17 words, however many keys there are.
 FILTER_BITS = 1 << 23
 
+#: Bytes of a batch of rows on its way to Python, where the session names no limit.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send rows to Python in batches of about ``BATCH_BYTES``, unless it names a limit itself.
+
+    By default a batch is 64 MB or 10,000 rows, and both the JVM, outside its heap,
+    and the worker hold one or two of a task's batches at once. Rows aren't changed.
+    """
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data folder."""

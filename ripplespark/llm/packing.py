@@ -27,6 +27,10 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import blocks, cut, read_table, text_buffer, tidy
 
+#: Bounds of a worker's token tables. Workers share an executor's memory with a JVM that
+#: holds all it ever took; larger tables save few CPU seconds here.
+ENTRIES, NAMES = 400_000, 20_000
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
 
 
@@ -45,7 +49,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, max_len: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = tokens.encoder(tokenizer)
+        enc = tokens.encoder(tokenizer, ENTRIES, NAMES)
         part, seen = TaskContext.get().partitionId(), np.zeros(bits, np.int64)
         for b in batches:
             buf, offs = text_buffer(b.column(1))

@@ -23,6 +23,8 @@ from .words import Words
 #: Strings that are numbered before the numbering begins anew, and names of a generation that strings are made of.
 ENTRIES = 1_000_000
 NAMES = 200_000
+#: Ids of a string, on average, beyond which the numbering is full too.
+IDS_EACH = 8
 #: Bytes of a chunk that is looked up with its whole block.
 SHORT = 16
 
@@ -43,11 +45,15 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encoder(path: str) -> "Encoder":
-    """The process's encoder for a tokenizer file."""
+def encoder(path: str, entries: int | None = None, names: int | None = None) -> "Encoder":
+    """The process's encoder for a tokenizer file; its numbering begins anew where the bounds differ from those before."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        _encoders[path] = Encoder(path, entries, names)
+    found = _encoders[path]
+    if (found.entries, found.most_names) != (entries, names):
+        found.entries, found.most_names = entries, names
+        found.clear()
+    return found
 
 
 def splits_at_spaces(spec: dict) -> bool:
@@ -108,9 +114,13 @@ class Table:
     SIZE = 26  # a value's bits below the string's size
 
     def __init__(self, bits: int = 21):
-        self.bits, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.bits, self.mask, self.n = np.uint64(64 - bits), (1 << bits) - 1, 0
         self.head, self.tail, self.value = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
 
+    def room(self, more: int) -> bool:
+        """Whether three quarters at most are used with ``more`` strings."""
+        return 4 * (self.n + more) <= 3 * (self.mask + 1)
+
     def find(self, slot: np.ndarray, head: np.ndarray, tail: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The number of each string, -1 where there is none. ``slot``: 64-bit hashes, which only say where to look."""
         out = np.full(len(slot), -1, np.int32)
@@ -124,7 +134,8 @@ class Table:
         return out
 
     def insert(self, slot: np.ndarray, head: np.ndarray, tail: np.ndarray, size: np.ndarray, value: np.ndarray) -> None:
-        """Add strings that aren't there."""
+        """Add strings that aren't there; the caller sees to :meth:`room`."""
+        self.n += len(slot)
         at, rest = (slot >> self.bits).astype(np.int64), np.arange(len(slot))
         while len(rest):
             free = np.flatnonzero(self.value[at] < 0)
@@ -147,9 +158,12 @@ def _eight(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    """``entries``, ``names``: bounds of its tables, by default ``ENTRIES`` and ``NAMES``."""
+
+    def __init__(self, path: str, entries: int | None = None, names: int | None = None):
         from tokenizers import Tokenizer
 
+        self.entries, self.most_names = entries, names
         self.tok = Tokenizer.from_file(path)
         self.tok.no_padding()
         self.tok.no_truncation()
@@ -166,13 +180,19 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.strings, self.table, self.long = Strings(), Table(), {}
+        self.strings, self.table, self.long = Strings(), Table(self._bits(self.entries or ENTRIES)), {}
         self.names: dict[str, int] = {"": 0}
         self.old: dict[str, int] = {}
 
+    @staticmethod
+    def _bits(n: int) -> int:
+        """Bits of a table that ``n`` strings fill to a half at most."""
+        return max(4, (2 * n - 1).bit_length())
+
     def begin(self) -> None:
-        """Begin the numbering anew if it is full or cleared. Numbers given before are void then."""
-        if self.table is None or len(self.strings) > ENTRIES or len(self.long) > ENTRIES // 4:
+        """Begin the numbering anew if it is full, by strings or by their ids, or cleared. Numbers given before are void then."""
+        most = self.entries or ENTRIES
+        if self.table is None or len(self.strings) > most or self.strings.size > IDS_EACH * most or len(self.long) > most // 4:
             self._reset()
 
     def clear(self) -> None:
@@ -221,7 +241,7 @@ class Encoder:
 
     def learn(self, chunks: list[str]) -> np.ndarray:
         """Numbers of new distinct chunks. Letters are encoded in lower case and apart from the marks after them, where the tokenizer reads them so."""
-        if len(self.names) > NAMES:
+        if len(self.names) > (self.most_names or NAMES):
             self.old, self.names = self.names, {"": 0}
         if self.ends is None:
             self._learn_any(self._unknown(set(chunks)))
@@ -265,6 +285,8 @@ class Encoder:
             new = miss[fresh]
             at = some[new]
             made = self.learn([raw[a:b].decode() for a, b in zip(w.start[at].tolist(), w.end[at].tolist())])
+            if not self.table.room(len(new)):  # one block may hold more than the table; numbers given before stay good
+                self.table = Table(self._bits(max(len(new), self.entries or ENTRIES)))
             self.table.insert(*(x[new] for x in short), made)
             out[some[miss]] = made[np.cumsum(fresh) - 1]
         rare = np.flatnonzero(size > SHORT)

@@ -107,6 +107,24 @@ def test_numbering_begins_anew(monkeypatch):
         assert e.encode(*block(t))[0].tolist() == [i for x in t for i in e.whole(x).tolist()]
 
 
+def test_one_block_may_hold_more_strings_than_the_table():
+    e = tokens.Encoder(tokens.default_path(), 50, 20)
+    text = " ".join(f"w{i}" for i in range(600))
+    for t in (text, "w1 w2 w599", text + " more"):
+        assert e.encode(*block([t]))[0].tolist() == e.whole(t).tolist()
+
+
+def test_packing_has_small_token_tables():
+    e = tokens.encoder(tokens.default_path(), packing.ENTRIES, packing.NAMES)
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        at = rng.integers(0, 1 << 40, 20_000).tolist()
+        e.encode(*block([" ".join(f"{i:x}"[:7] for i in at)]), 1)
+    held = [e.table.head, e.table.tail, e.table.value, e.strings._flat, e.strings._first]
+    assert sum(x.nbytes for x in held) < 48 << 20 and len(e.names) + len(e.old) < 200_000
+    assert tokens.encoder(tokens.default_path()) is e and e.table is None  # the numbering of other bounds is void
+
+
 def test_hash_table_collisions():
     t = tokens.Table(4)
     slot, head = np.zeros(12, np.uint64), np.arange(12, dtype=np.uint64)  # all in one slot

@@ -47,5 +47,29 @@ def test_stages(spark, folder):
     assert rows[rows["start"] == 0].groupby("doc_id").size().to_dict() == counts
 
 
+def test_rows_go_to_python_in_small_batches(spark, folder):
+    import pyarrow as pa
+
+    from ripplespark.llm import common
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], ["n"])
+
+    wide = spark.range(0, 6000, 1, 1).selectExpr("repeat('x', 4000) AS text")
+    d = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    before = spark.conf.get(common._BATCH, None)
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(common._BATCH)
+            stage(spark, d, folder[0])
+            assert max(r["n"] for r in wide.mapInArrow(sizes, "n long").collect()) < 6 << 20
+        spark.conf.set(common._BATCH, str(1 << 20))  # a session's own limit holds
+        corpus_pipeline.STAGES[0][1](spark, d, folder[0])
+        assert spark.conf.get(common._BATCH).rstrip("b") == str(1 << 20)
+    finally:
+        spark.conf.unset(common._BATCH) if before is None else spark.conf.set(common._BATCH, before)
+
+
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder[0]).count() > 100
