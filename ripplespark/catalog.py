@@ -208,10 +208,9 @@ SELECT ref, arg_max(id, (score, -start_line, id)) AS target, max(score)::INTEGER
 def resolve_top1(spark: SparkSession, d: str) -> DataFrame:
     s = T.symbols(spark, d)
     refs = s.select(F.col("id").alias("ref"), "name", "file", (F.col("language") == "java").alias("is_method"), F.replace(paths.parent(F.col("file")), F.lit("/"), F.lit("::")).alias("prefix"))
-    c = filters.callable_only(s).select("name", *(F.col(x).alias(f"c_{x}") for x in ("id", "file", "kind", "language", "start_line")))
-    fit = resolve.score(F.col("file"), F.lit(None).cast("string"), F.array("prefix"), F.col("c_file"), F.col("c_kind"), F.col("c_language"), F.col("is_method"))
-    pairs = refs.join(c, "name").withColumn("score", fit)
-    return pairs.groupBy("ref").agg(F.max_by("c_id", F.struct("score", -F.col("c_start_line"), "c_id")).alias("target"), F.max("score").alias("score"))
+    c = filters.callable_only(s).select(F.col("name").alias("key"), *(F.col(x).alias(f"c_{x}") for x in ("id", "file", "kind", "language")), F.col("start_line").alias("c_line"))
+    asked = refs.select(F.col("ref").alias("ref_id"), F.col("name").alias("key"), "file", F.lit(None).cast("string").alias("qualifier"), F.lit(False).alias("only"), F.array("prefix").alias("prefixes"), "is_method")
+    return resolve.best(asked, c).select(F.col("ref_id").alias("ref"), F.col("dst").alias("target"), "score")
 
 
 SUFFIX = f"""WITH {T.SYMBOLS_SQL}, files AS (SELECT DISTINCT file FROM symbols), mods AS (SELECT DISTINCT replace(p_brand, '#', '_') || '::' || p_type AS module FROM part UNION SELECT DISTINCT p_type FROM part)

@@ -54,6 +54,14 @@ def file_matches(file: Column, module: Column) -> Column:
     return F.coalesce((module != "") & ends, F.lit(False))
 
 
+def module_ends(file: Column) -> Column:
+    """Every text, with slashes, that ``file_matches`` takes for the file's module: for equi joins with module paths."""
+    name = F.regexp_replace(file, r"^\./", "")
+    stems = F.array(*(F.when(F.endswith(name, F.lit(e)), F.substring(name, F.lit(1), F.length(name) - len(e))) for e in ENDINGS))
+    found = F.filter(stems, lambda x: x.isNotNull() & (x != ""))
+    return F.array_distinct(F.flatten(F.transform(found, lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.substring(x, i, F.length(x))))))
+
+
 def module_keys(file: Column) -> Column:
     """Every module path, segment by segment from the right, that a file matches: for equi joins with module paths."""
     name = F.regexp_replace(file, r"^\./", "")

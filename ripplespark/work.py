@@ -28,3 +28,20 @@ def cut(df: DataFrame, what: str = "step") -> DataFrame:
     path = f"{folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of stored tables that a part of a shuffle may come from.
+PART = 4 << 20
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` parted by ``keys``, into more parts for larger tables, so that a task's rows don't grow with them.
+
+    Coalescing goes by compressed bytes and by cores, which lets a task hold any
+    number of rows. Tables of a part's size, and those of unknown size, are left as they are.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    read = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    if read <= PART or read >= 1 << 60:
+        return df
+    return df.repartition(max(-(-read // PART), df.sparkSession.sparkContext.defaultParallelism), *keys)

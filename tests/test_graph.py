@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from ripplespark.functions import paths
 from ripplespark.model import EDGES, SYMBOLS, ImpactOptions, profile
-from ripplespark.operators import filters, graph, sets, summary
+from ripplespark.operators import filters, graph, resolve, sets, summary
 
 
 def edge(a, b, kind="call", provenance="call_graph", certainty="inferred", file="m.rs", line=1):
@@ -134,3 +134,25 @@ def test_one_language(spark):
     assert filters.one_language(ok).count() == 2
     with pytest.raises(Exception, match="more than one language"):
         filters.one_language(spark.createDataFrame([("go",), ("rust",)], "language string")).collect()
+
+
+def test_crowded_names_get_the_best_that_pairs_would(spark):
+    """Looking places up gives what comparing every pair gives, and alike references and candidates aren't paired."""
+    import random
+
+    pick = random.Random(5).choice
+    files = ["a/m.rs", "a/n.py", "b/m.rs", "b/c/mod.rs", "./b/x.java", "m.rs", "b/index.ts", "za/m.rs", "", None]
+    modules = ["a::m", "m", "b", "b::c", "", None, "none"]
+    refs = [(i, pick("fgh"), pick(files), pick(modules), False, [pick(modules) for _ in range(i % 3)], pick((True, False, None))) for i in range(150)]
+    cand = [(pick("fgh"), f"c{i}", pick(files), pick(("function", "method")), pick(("rust", "python")), pick((1, 2, None))) for i in range(90)]
+    r = spark.createDataFrame(refs, "ref_id long, key string, file string, qualifier string, only boolean, prefixes array<string>, is_method boolean")
+    c = spark.createDataFrame(cand, "key string, c_id string, c_file string, c_kind string, c_language string, c_line int")
+    for rows in (r, r.where("qualifier <> ''").withColumn("only", F.lit(True))):
+        pairs, places = ({tuple(x) for x in resolve.best(rows, c, few).collect()} for few in (1000, 0))
+        assert pairs == places and pairs
+    n = 30_000
+    many = spark.range(n).select("id", F.lit("f").alias("key"), F.concat(F.lit("d"), (F.col("id") % 7).cast("string"), F.lit("/m.rs")).alias("file"))
+    r = many.select(F.col("id").alias("ref_id"), "key", "file", F.lit(None).cast("string").alias("qualifier"), F.lit(False).alias("only"), F.array(F.lit("d1")).alias("prefixes"), F.lit(False).alias("is_method"))
+    c = many.select("key", F.format_string("c%05d", "id").alias("c_id"), F.col("file").alias("c_file"), F.lit("function").alias("c_kind"), F.lit("rust").alias("c_language"), F.lit(1).alias("c_line"))
+    got = resolve.best(r, c)  # 900 million pairs
+    assert {(x["ref_id"] % 7, x["dst"], x["score"]) for x in got.collect()} == {(k, f"c{n - 1 - (n - 1 - k) % 7:05d}", 45) for k in range(7)}
