@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import PROVENANCE, REF_KIND, ImpactOptions, rank
-from ..work import cut
+from ..work import cut, spread
 from .filters import confident
 
 HOP = "struct<src:string,dst:string,kind:string,provenance:string,file:string,line:int>"
@@ -30,9 +30,10 @@ def reach(edges: DataFrame, seeds: DataFrame, direction: str = "callers", max_de
     seen = cut(seeds.select(*keys, "node").distinct().withColumn("depth", F.lit(0)), "level")
     if max_depth < 1:
         return seen
-    front, adj = seen, cut(adjacency(edges, direction).distinct(), "adjacency")
+    front, adj = seen, cut(spread(adjacency(edges, direction), "cur", "next").distinct(), "adjacency")
     for d in range(1, max_depth + 1):
-        moved = front.join(adj, front["node"] == adj["cur"]).select(*keys, F.col("next").alias("node")).distinct()
+        moved = front.join(adj, front["node"] == adj["cur"]).select(*keys, F.col("next").alias("node"))
+        moved = spread(moved, *keys, "node").distinct()
         front = cut(moved.join(seen.select(*keys, "node"), [*keys, "node"], "left_anti").withColumn("depth", F.lit(d)), "level")
         if front.isEmpty():
             break
@@ -43,7 +44,7 @@ def reach(edges: DataFrame, seeds: DataFrame, direction: str = "callers", max_de
 def reached_again(edges: DataFrame, reached: DataFrame, max_depth: int = 100, by: list[str] | None = None, direction: str = "callees") -> DataFrame:
     """Seeds that traversal meets again from another node, with the least depth at which it does."""
     keys = by or []
-    adj = adjacency(edges, direction).where("cur <> next").distinct()
+    adj = spread(adjacency(edges, direction).where("cur <> next"), "cur", "next").distinct()
     seeds = reached.where("depth = 0").select(*keys, "node")
     hops = reached.where(F.col("depth") < max_depth).join(adj, F.col("node") == F.col("cur")).select(*keys, F.col("next").alias("node"), (F.col("depth") + 1).alias("depth"))
     return hops.join(seeds, [*keys, "node"], "left_semi").groupBy(*keys, "node").agg(F.min("depth").alias("depth"))

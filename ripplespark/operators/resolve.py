@@ -161,7 +161,7 @@ def _looked_up(refs: DataFrame, cand: DataFrame) -> DataFrame:
     asked = asked.select("shape", "shape.key", "shape.is_method", "q", "p", F.explode(places(F.col("shape.file"))).alias("x")).select("*", "x.*").drop("x")
     more = F.col("more") + F.when(F.col("q") != "", 20).otherwise(0) + F.when(F.col("p") != "", 15).otherwise(0)
     got = asked.join(table, on).select("shape", F.struct((F.col("b.score") + more).alias("score"), F.col("b.at").alias("at"), F.col("b.id").alias("id")).alias("b"))
-    return shaped.join(got.groupBy("shape").agg(F.max("b").alias("b")), "shape").select("ref_id", "b")
+    return shaped.join(spread(got, "shape").groupBy("shape").agg(F.max("b").alias("b")), "shape").select("ref_id", "b")
 
 
 def resolve(refs: DataFrame, imports: DataFrame, symbols: DataFrame) -> DataFrame:

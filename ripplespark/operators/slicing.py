@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import module_keys
-from ..work import cut
+from ..work import cut, spread
 from .graph import adjacency
 
 
@@ -22,7 +22,7 @@ def boundaries(edges: DataFrame, seeds: DataFrame, by: list[str], direction: str
 def completions(edges: DataFrame, seeds: DataFrame, symbols: DataFrame, by: list[str], direction: str) -> DataFrame:
     """Second hops on the same side, without the root, the boundary, and files that a boundary is in."""
     near = boundaries(edges, seeds, by, direction).select(*by, "root", "via").distinct()
-    adj = adjacency(edges, direction).distinct()
+    adj = spread(adjacency(edges, direction), "cur", "next").distinct()
     far = near.join(adj, near["via"] == adj["cur"]).where("next <> root AND next <> via").select(*by, "via", F.col("next").alias("id")).distinct()
     direct = near.join(symbols.select(F.col("id").alias("via"), "file"), "via").select(*by, "file").distinct()
     return far.join(symbols, "id").join(direct, [*by, "file"], "left_anti")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..work import spread
+
 KIND_OF = ("function", "method", "struct", "enum", "trait", "module")
 EXT_OF = (".rs", ".rb", ".py", ".js", ".ts", ".go", ".java", "/mod.rs")
 LANG_OF = ("rust", "ruby", "python", "javascript", "typescript", "go", "java", "rust")
@@ -25,6 +27,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _file() -> Column:
+    return F.concat(F.translate("p_brand", "#", "_"), F.lit("/"), "p_type", _choose(F.col("p_size"), EXT_OF))
+
+
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "part")
     size, start = F.col("p_size"), (F.col("p_partkey") % 100 + 1).cast("int")
@@ -32,7 +38,7 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("id"),
         F.col("p_name").alias("name"),
         _choose(size, KIND_OF).alias("kind"),
-        F.concat(F.translate("p_brand", "#", "_"), F.lit("/"), "p_type", _choose(size, EXT_OF)).alias("file"),
+        _file().alias("file"),
         start.alias("start_line"),
         (start + size).cast("int").alias("end_line"),
         _choose(size, LANG_OF).alias("language"),
@@ -53,20 +59,19 @@ REF_OF = ("call", "data", "call", "control")
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct pairs of parts on neighbouring lines of an order; the least supplier decides an edge's attributes."""
     over = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    l = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", F.lead("l_partkey").over(over).alias("b"))
-    e = l.where("b IS NOT NULL").groupBy("l_partkey", "b").agg(F.min("l_suppkey").alias("s"))
-    s = symbols(spark, sf_dir).select(F.col("id").alias("src"), "file")
-    return (
-        e.select(
-            F.concat(F.lit("p:"), F.col("l_partkey").cast("string")).alias("src"),
-            F.concat(F.lit("p:"), F.col("b").cast("string")).alias("dst"),
-            _choose(F.col("s"), REF_OF).alias("kind"),
-            (F.col("s") % 100 + 1).cast("int").alias("line"),
-            _choose(F.col("s"), CERT_OF).alias("certainty"),
-            _choose(F.col("s"), PROV_OF).alias("provenance"),
-        )
-        .join(s, "src")
-        .select("src", "dst", "kind", "file", "line", "certainty", "provenance")
+    l = spread(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_orderkey")
+    l = l.select("l_partkey", "l_suppkey", F.lead("l_partkey").over(over).alias("b")).where("b IS NOT NULL")
+    # parted and joined by the number: the pairs need no second shuffle to meet their file
+    e = spread(l, "l_partkey").groupBy("l_partkey", "b").agg(F.min("l_suppkey").alias("s"))
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), _file().alias("file"))
+    return e.join(p, "l_partkey").select(
+        F.concat(F.lit("p:"), F.col("l_partkey").cast("string")).alias("src"),
+        F.concat(F.lit("p:"), F.col("b").cast("string")).alias("dst"),
+        _choose(F.col("s"), REF_OF).alias("kind"),
+        "file",
+        (F.col("s") % 100 + 1).cast("int").alias("line"),
+        _choose(F.col("s"), CERT_OF).alias("certainty"),
+        _choose(F.col("s"), PROV_OF).alias("provenance"),
     )
 
 

@@ -156,3 +156,32 @@ def test_crowded_names_get_the_best_that_pairs_would(spark):
     c = many.select("key", F.format_string("c%05d", "id").alias("c_id"), F.col("file").alias("c_file"), F.lit("function").alias("c_kind"), F.lit("rust").alias("c_language"), F.lit(1).alias("c_line"))
     got = resolve.best(r, c)  # 900 million pairs
     assert {(x["ref_id"] % 7, x["dst"], x["score"]) for x in got.collect()} == {(k, f"c{n - 1 - (n - 1 - k) % 7:05d}", 45) for k in range(7)}
+
+
+@pytest.fixture
+def parts(spark, tmp_path, monkeypatch):
+    """The parts of what a function of stored edges gives or cuts, over a small table and one of ten times its rows."""
+    from ripplespark import work
+
+    stored = []
+    for n in (2_000, 20_000):
+        row = spark.range(0, n, 1, 1).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("src"), F.concat(F.lit("n"), (F.col("id") * 7 % n).cast("string")).alias("dst"), F.lit("call").alias("kind"), F.lit("f").alias("file"), F.lit(1).alias("line"), F.lit("inferred").alias("certainty"), F.lit("call_graph").alias("provenance"))
+        row.write.parquet(f"{tmp_path}/{n}")
+        stored.append(spark.read.parquet(f"{tmp_path}/{n}"))
+    monkeypatch.setattr(work, "PART", 2_000)
+
+    def measured(f):
+        found = []
+        for e in stored:
+            seen = []
+            monkeypatch.setattr(graph, "cut", lambda df, what="step", seen=seen: (seen.append(df), work.cut(df, what))[1])
+            f(e, seen)
+            found.append(max(df.rdd.getNumPartitions() for df in seen))
+        return found
+
+    return measured
+
+
+def test_adjacency_has_more_parts_for_more_edges(spark, parts):
+    few, many = parts(lambda e, seen: graph.reach(e, seeds(spark, "n1"), "both", 1))
+    assert many >= 4 * few
