@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import CERTAINTY, certainty_rank, unrank
+from ..work import spread
 
 EDGE = ["src", "dst", "kind", "file", "line", "certainty", "provenance"]
 
@@ -13,6 +14,7 @@ EDGE = ["src", "dst", "kind", "file", "line", "certainty", "provenance"]
 def unique_edges(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Edges once for each key (all columns by default); of equals, the least in column order."""
     keys = keys or EDGE
+    edges = spread(edges, *keys)
     rest = [c for c in edges.columns if c not in keys]
     if not rest:
         return edges.distinct()

@@ -185,3 +185,8 @@ def parts(spark, tmp_path, monkeypatch):
 def test_adjacency_has_more_parts_for_more_edges(spark, parts):
     few, many = parts(lambda e, seen: graph.reach(e, seeds(spark, "n1"), "both", 1))
     assert many >= 4 * few
+
+
+def test_unique_edges_have_more_parts_for_more_edges(parts):
+    few, many = parts(lambda e, seen: seen.append(sets.unique_edges(e, ["src", "dst", "kind"])))
+    assert many >= 4 * few
