@@ -13,6 +13,7 @@ from .model import ImpactOptions, parse_id, symbol_id
 from .operators import changed, filters, graph, ranking, resolve, sets, summary
 from .plans import store
 from .sources import tables as T
+from .work import cut, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 _found: dict[str, tuple[Query, str | None]] = {}
@@ -266,8 +267,9 @@ SELECT fn, input, node FROM walk WHERE node <> input"""
 @query(CLOSURE)
 def function_flow_closure(spark: SparkSession, d: str) -> DataFrame:
     s = T.symbols(spark, d).select("id", "file")
-    e = T.edges(spark, d).select("src", "dst")
-    inside = e.join(s.select(F.col("id").alias("src"), F.col("file").alias("fn")), "src").join(s.select(F.col("id").alias("dst"), F.col("file").alias("f2")), "dst").where("fn = f2").select("fn", "src", "dst")
+    # an edge's file is its source's
+    e = spread(T.edges(spark, d).select(F.col("file").alias("fn"), "src", "dst"), "dst")
+    inside = cut(e.join(s.select(F.col("id").alias("dst"), F.col("file").alias("f2")), "dst").where("fn = f2").select("fn", "src", "dst"), "inside")
     inputs = inside.select("fn", F.col("src").alias("input"), F.col("src").alias("node")).distinct()
     return graph.closure(inside, inputs, ["fn", "input"])
 

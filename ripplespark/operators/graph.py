@@ -177,9 +177,10 @@ def closure(edges: DataFrame, inputs: DataFrame, by: list[str]) -> DataFrame:
     bound = [c for c in by if c in edges.columns]
     seen = cut(inputs.select(*by, "node").distinct(), "closure")
     front, start = seen, seen
-    ahead = cut(edges.withColumnRenamed("src", "node").select(*bound, "node", "dst").distinct(), "adjacency")
+    ahead = cut(spread(edges.withColumnRenamed("src", "node").select(*bound, "node", "dst"), *bound, "node", "dst").distinct(), "adjacency")
     while True:  # until nothing new is met, however many rounds that takes
-        moved = front.join(ahead, [*bound, "node"]).select(*by, F.col("dst").alias("node")).distinct()
+        moved = front.join(ahead, [*bound, "node"]).select(*by, F.col("dst").alias("node"))
+        moved = spread(moved, *by, "node").distinct()
         front = cut(moved.join(seen, [*by, "node"], "left_anti"), "closure")
         if front.isEmpty():
             break

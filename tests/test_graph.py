@@ -190,3 +190,8 @@ def test_adjacency_has_more_parts_for_more_edges(spark, parts):
 def test_unique_edges_have_more_parts_for_more_edges(parts):
     few, many = parts(lambda e, seen: seen.append(sets.unique_edges(e, ["src", "dst", "kind"])))
     assert many >= 4 * few
+
+
+def test_closure_has_more_parts_for_more_edges(parts):
+    few, many = parts(lambda e, seen: graph.closure(e.where("src <= 'n3'"), e.where("src < 'n10'").select(F.col("src").alias("node"), F.col("src").alias("input")), ["input"]))
+    assert many >= 4 * few
