@@ -51,6 +51,7 @@ def merge_pdg(base: DataFrame, local: DataFrame, pdg: DataFrame, nodes: DataFram
 
 
 def difference(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
-    """Symmetric difference of two relations' keys: ``side`` is missing or extra."""
-    a, b = expected.select(*keys).distinct(), found.select(*keys).distinct()
-    return a.join(b, keys, "left_anti").withColumn("side", F.lit("missing")).unionByName(b.join(a, keys, "left_anti").withColumn("side", F.lit("extra")))
+    """Symmetric difference of two relations' keys: ``side`` is missing or extra. Null keys are equal, as in EXCEPT."""
+    both = expected.select(*keys, F.lit(True).alias("_a")).unionByName(found.select(*keys, F.lit(False).alias("_a")))
+    sides = spread(both, *keys).groupBy(*keys).agg(F.max("_a").alias("_a"), F.min("_a").alias("_b"))
+    return sides.where("_a = _b").select(*keys, F.when(F.col("_a"), "missing").otherwise("extra").alias("side"))

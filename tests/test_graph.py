@@ -195,3 +195,10 @@ def test_unique_edges_have_more_parts_for_more_edges(parts):
 def test_closure_has_more_parts_for_more_edges(parts):
     few, many = parts(lambda e, seen: graph.closure(e.where("src <= 'n3'"), e.where("src < 'n10'").select(F.col("src").alias("node"), F.col("src").alias("input")), ["input"]))
     assert many >= 4 * few
+
+
+def test_difference_has_more_parts_for_more_edges(spark, parts):
+    few, many = parts(lambda e, seen: seen.append(sets.difference(e, e.where("src > 'n5'"), ["src", "dst"])))
+    assert many >= 4 * few
+    a, b = (spark.createDataFrame(x, "k string") for x in ([("a",), ("b",), ("b",), (None,)], [("b",), ("c",), ("c",), (None,)]))
+    assert sorted(map(tuple, sets.difference(a, b, ["k"]).collect())) == [("a", "missing"), ("c", "extra")]
