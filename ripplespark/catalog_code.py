@@ -114,7 +114,7 @@ def code_imports(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {FILES_SQL} SELECT DISTINCT a.id AS src, b.id AS dst, a.file, a.start_line + 1 AS line FROM sym a JOIN sym b ON b.name = 'f' || a.n")
 def code_edges(spark: SparkSession, d: str) -> DataFrame:
-    symbols, refs, imports = (cut(x, "extracted") for x in code.extract(cut(source_files(spark, d), "sources")))
+    symbols, refs, imports = code.extract(cut(source_files(spark, d), "sources"))
     found = resolve.resolve(refs, imports, symbols)
     return found.select("src", "dst", "file", "line").distinct()
 

@@ -37,8 +37,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, files: DataFrame, confirmed: DataFrame | None = None):
         self.spark, self.files = spark, files
-        s, r, i = code.extract(files)
-        self.symbols, self.refs, self.imports = cut(s), cut(r), cut(i)
+        self.symbols, self.refs, self.imports = code.extract(files)
         found = resolve(self.refs, self.imports, self.symbols)
         self.calls = cut(found if confirmed is None else sets.unique_edges(confirmed.select(*sets.EDGE).unionByName(found), ["src", "dst", "kind"]))
 

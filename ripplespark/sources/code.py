@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import EXTENSIONS, IMPORTS, KINDS, SYMBOLS
+from ..work import cut
 
 SKIPPED = (".git", "target", "node_modules")
 
@@ -95,5 +96,32 @@ def imports(files: DataFrame) -> DataFrame:
     return files.select("path", "content", "language").mapInPandas(run, IMPORTS)
 
 
+#: Files of a task, so that few large groups of files don't keep cores idle.
+FILES = 256
+
+
 def extract(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return symbols(files), refs(files), imports(files)
+    """Symbols, references and imports, for which each file is parsed once and its rows are written once."""
+    parts = max(files.sparkSession.sparkContext.defaultParallelism, -(-files.count() // FILES))
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from ..extract import analyze
+
+        for pdf in pdfs:
+            rows = []
+            for path, text, lang in zip(pdf["path"], pdf["content"], pdf["language"]):
+                got = analyze(lang, path, text or "")
+                rows += [(0, f"{lang}:{path}:{KINDS[s.kind]}:{s.name}:{s.start_line}", s.name, s.kind, path, s.start_line, s.end_line, lang, None, None) for s in got.symbols]
+                rows += [(1, r.qualifier, r.name, "call", path, r.line, i, None, r.is_method, None) for i, r in enumerate(got.refs)]
+                rows += [(2, i[1], None, i[0], path, 0, 0, None, None, i[2]) for i in got.imports]
+            yield _frame(rows, TAGGED)
+
+    all_ = cut(files.select("path", "content", "language").repartition(parts).mapInPandas(run, TAGGED), "extracted")
+    a = all_.where("tag = 0").select("id", "name", "kind", "file", F.col("a").alias("start_line"), F.col("b").alias("end_line"), "language")
+    r = all_.where("tag = 1").select(F.xxhash64("file", F.col("b")).alias("ref_id"), "name", "kind", "file", F.col("a").alias("line"), F.col("id").alias("qualifier"), "is_method")
+    i = all_.where("tag = 2").select("file", F.col("kind").alias("entry_type"), F.col("id").alias("key"), "target")
+    return a, r, i
+
+
+#: Rows of all three: ``a`` and ``b`` are the lines of a symbol, or the line of a reference and its number in the file.
+TAGGED = "tag int, id string, name string, kind string, file string, a int, b int, language string, is_method boolean, target string"

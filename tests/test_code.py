@@ -230,3 +230,11 @@ def test_contracts():
         contracts.resolve("id", raw=True)
     with pytest.raises(KeyError):
         contracts.get("nothing")
+
+
+def test_extraction_parses_files_once(spark):
+    rows = files(spark, [("a/x.py", "from b import g as h\ndef f():\n    h()\n    q.k()\n"), ("b.ts", "export { z } from './c';\nfunction g() { f(); }\n"), ("c.rs", ""), ("e.go", None)])
+    apart = code.symbols(rows), code.refs(rows), code.imports(rows)
+    for one, alone in zip(code.extract(rows), apart):
+        assert one.columns == alone.columns and sorted(map(str, one.collect())) == sorted(map(str, alone.collect())) != []
+        assert "MapInPandas" not in one._jdf.queryExecution().toString()  # read back, not parsed again
